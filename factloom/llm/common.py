@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,7 +71,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        ends = np.cumsum(np.asarray(pa.compute.binary_length(col).fill_null(0), dtype=np.int64))
+        ends = np.cumsum(np.asarray(pc.binary_length(col).fill_null(0), dtype=np.int64))
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
