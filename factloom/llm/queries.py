@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate
+from factloom.llm import decontaminate, simhash
 from factloom.llm.html_extract import extract_text
 from factloom.llm.packing import pack_documents
 
@@ -25,7 +25,12 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op2_html_extraction": op2_html_extraction,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
