@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, simhash, suffix_dedup
+from factloom.llm import decontaminate, simhash, suffix_dedup, topk, toxicity
 from factloom.llm.html_extract import extract_text
 from factloom.llm.packing import pack_documents
 
@@ -13,10 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.digest(docs, *toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -34,12 +44,15 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op2_html_extraction": op2_html_extraction,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op6_exact_top_k": op6_exact_top_k,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "op6_exact_top_k": topk.ORACLE_SQL,
 }
