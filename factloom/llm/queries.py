@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, simhash, suffix_dedup, topk, toxicity
+from factloom.llm import decontaminate, line_dedup, simhash, suffix_dedup, topk, toxicity
 from factloom.llm.html_extract import extract_text
 from factloom.llm.packing import pack_documents
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -49,6 +53,7 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op2_html_extraction": op2_html_extraction,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_line_dedup": op5_line_dedup,
     "op6_exact_top_k": op6_exact_top_k,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
