@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, line_dedup, simhash, suffix_dedup, topk, toxicity
+from factloom.llm import decontaminate, line_dedup, simhash, suffix_dedup, token_shards, topk, toxicity
 from factloom.llm.html_extract import extract_text
 from factloom.llm.packing import pack_documents
 
@@ -35,6 +35,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op2_html_extraction": op2_html_extraction,
+    "op3_token_shards": op3_token_shards,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_line_dedup": op5_line_dedup,
     "op6_exact_top_k": op6_exact_top_k,
