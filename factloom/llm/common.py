@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_SLICE_BYTES = 4 << 20
+#: Parts of an input partition that are groups of their own.
+PARTS = 4
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -65,6 +67,22 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def group_of(uid: str):
+    """The group of a row: its input partition (the high bits of its number) and a part of that."""
+    return F.shiftrightunsigned(uid, 33) * PARTS + F.pmod(F.xxhash64(uid), F.lit(PARTS))
+
+
+def grouped_documents(docs: DataFrame, name: str) -> DataFrame:
+    """Rows (doc_id, text as UTF-8 binary, uid, g) in a table bucketed by g: groups of a few MB that later steps read without a shuffle."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_or_empty(), "UTF-8").alias("text"), F.monotonically_increasing_id().alias("uid")).withColumn("g", group_of("uid"))
+    path = scratch_path(spark, "documents")
+    table = f"factloom_{name}_{path.rsplit('-', 1)[1]}"
+    n = min(4096, max(8, rows.rdd.getNumPartitions() * 2))
+    rows.write.option("path", path).option("compression", "zstd").bucketBy(n, "g").format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = MAX_SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the column holds about `most` bytes in each slice (one row at least)."""
     for batch in batches:

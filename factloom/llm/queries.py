@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, line_dedup, simhash, suffix_dedup, token_shards, topk, toxicity
+from factloom.llm import decontaminate, line_dedup, lm_score, simhash, suffix_dedup, token_shards, topk, toxicity
 from factloom.llm.html_extract import extract_text
 from factloom.llm.packing import pack_documents
 
@@ -22,6 +22,10 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.digest(lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_line_dedup": op5_line_dedup,
     "op6_exact_top_k": op6_exact_top_k,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {
