@@ -21,7 +21,7 @@ def number(c: Column) -> Column:
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_RADIUS_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.when(a.isNotNull(), 2 * EARTH_RADIUS_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a))))  # least() passes over nulls
 
 
 def proximity(distance: Column, mismatch: Column | None = None) -> Column:
