@@ -28,14 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import column, scratch_path, text_or_empty, written
+from factloom.llm.common import column, group_of, grouped_documents, written
 from factloom.llm.suffix_array import repeated
 
 LENGTH, GRAM = 50, 16
 #: Surroundings of one anchor that one task compares; bytes of strings in one suffix array.
-HOT, RUN_BYTES = 4096, 1 << 20
-#: Text that one bucket of anchor hashes stands for; parts of an input partition that are groups of their own.
-BUCKET_BYTES, PARTS = 64 << 20, 4
+HOT, RUN_BYTES = 20_000, 1 << 20
+#: Text that one bucket of anchor hashes stands for.
+BUCKET_BYTES = 64 << 20
 
 BASE = 0x9E3779B97F4A7C15
 
@@ -61,6 +61,11 @@ def gram_hashes(text: np.ndarray, n: int = GRAM) -> np.ndarray:
     return (acc ^ (acc >> np.uint64(32))) | np.uint64(1)
 
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted array."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), dtype=bool)
+
+
 def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
     size = 1
     while size * 2 <= width:
@@ -141,14 +146,17 @@ def _answer(sent: pa.Table) -> pa.Table:
     more = [np.frombuffer(x, dtype="<u4") for x in sent.column("more").to_pylist()]
     every = np.sort(np.concatenate([*once, *more]))
     hot = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *more]))
-    out = [np.concatenate([a[np.isin(a, hot)], b]) for a, b in zip(once, more)]
+    out = [np.concatenate([a[_among(a, hot)], b]) for a, b in zip(once, more)]
     keep = [i for i, x in enumerate(out) if len(x)]
     bucket = sent.column("bucket")[0].as_py() if sent.num_rows else None
     return pa.table({"g": pa.array([groups[i] for i in keep], pa.int64()), "bucket": pa.array([bucket] * len(keep), pa.int64()), "hot": pa.array([out[i].tobytes() for i in keep], pa.binary()), "uid": pa.array([None] * len(keep), pa.int64())})
 
 
+PLACES = "k1 long, k2 long, uid long, doc_id long, at long, anchor long, text binary, low long, high long"
+
+
 def _send_surroundings(docs: pa.Table, side: pa.Table, length: int, buckets: int) -> pa.Table:
-    """Rows (k1, k2, g, uid, doc_id, at, anchor, text): a place, and the text where the group has it for the first time."""
+    """Places (k1, k2, uid, doc_id, at); and, once for each anchor and text of the group, (k1, k2, anchor, text, low, high) with its least and greatest id."""
     hot, copies = [np.zeros(0, dtype=np.uint64)], set()
     for b, h, u in zip(side.column("bucket").to_pylist(), side.column("hot").to_pylist(), side.column("uid").to_pylist()):
         if u is not None:
@@ -156,35 +164,52 @@ def _send_surroundings(docs: pa.Table, side: pa.Table, length: int, buckets: int
         else:
             hot.append((np.uint64(b) << np.uint64(32)) | np.frombuffer(h, dtype="<u4").astype(np.uint64))
     wanted = np.unique(np.concatenate(hot))
-    keys, uids, ids, places, marks = [], [], [], [], []
-    texts: list[bytes | None] = []
-    sent: set[tuple[bytes, int]] = set()
-    row_uid, row_id = docs.column("uid").to_pylist(), docs.column("doc_id").to_pylist()
-    g = docs.column("g")[0].as_py() if docs.num_rows else None
+    none = np.zeros(0, dtype=np.int64)
+    keys: list[bytes] = []
+    uids, ids, places = [none], [none], [none]
+    texts: dict[tuple[bytes, int], list] = {}
+    row_uid = np.array(docs.column("uid").to_pylist(), dtype=np.int64)
+    row_id = np.array([-1 if d is None else d for d in docs.column("doc_id").to_pylist()], dtype=np.int64)
     reach = length - GRAM
+    digest = xxhash.xxh3_128_digest
     for slab in _slabs(docs, _compared(docs, copies)) if len(wanted) else ():
         text, doc, begin = _joined(docs, slab)
         at, hashes = anchors(text, doc, length)
-        key = ((hashes % np.uint64(buckets)) << np.uint64(32)) | (hashes >> np.uint64(32))
-        keep = np.isin(key, wanted)
-        at, hashes = at[keep], hashes[keep]
+        keep = _among(((hashes % np.uint64(buckets)) << np.uint64(32)) | (hashes >> np.uint64(32)), wanted)
+        at, hashes = at[keep], hashes[keep].view(np.int64)
         raw = text.tobytes()
         end = np.concatenate([begin[1:], [len(text)]])
         owner = doc[at]
         low, high = np.maximum(begin[owner], at - reach), np.minimum(end[owner], at + length)
-        for a, b, h in zip(low.tolist(), high.tolist(), hashes.tolist()):
+        uids.append(row_uid[slab[owner]])
+        ids.append(row_id[slab[owner]])
+        places.append(low - begin[owner])
+        for a, b, h, d in zip(low.tolist(), high.tolist(), hashes.tolist(), ids[-1].tolist()):
             part = raw[a:b]
-            k = xxhash.xxh3_128_digest(part)
+            k = digest(part)
             keys.append(k)
-            texts.append(part if (k, h) not in sent else None)
-            sent.add((k, h))
-        uids += [row_uid[slab[o]] for o in owner]
-        ids += [row_id[slab[o]] for o in owner]
-        places.append(low - begin[owner])
-        marks.append(hashes.view(np.int64))
-    key = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
-    none = np.zeros(0, dtype=np.int64)
-    return pa.table({"k1": pa.array(key[:, 0]), "k2": pa.array(key[:, 1]), "g": pa.array([g] * len(keys), pa.int64()), "uid": pa.array(uids, pa.int64()), "doc_id": pa.array(ids, pa.int64()), "at": pa.array(np.concatenate([none, *places])), "anchor": pa.array(np.concatenate([none, *marks])), "text": pa.array(texts, pa.binary())})
+            if x := texts.get((k, h)):
+                x[1], x[2] = min(x[1], d), max(x[2], d)
+            else:
+                texts[k, h] = [part, d, d]
+    n, m = len(keys), len(texts)
+    key = np.frombuffer(b"".join(keys) + b"".join(k for k, _ in texts), dtype="<i8").reshape(-1, 2)
+    nulls = lambda size: pa.nulls(size, pa.int64())
+    both = lambda x, y: pa.chunked_array([pa.array(x, pa.int64()) if not isinstance(x, pa.Array) else x, pa.array(y, pa.int64()) if not isinstance(y, pa.Array) else y])
+    facts = list(texts.values())
+    return pa.table(
+        {
+            "k1": pa.array(key[:, 0]),
+            "k2": pa.array(key[:, 1]),
+            "uid": both(np.concatenate(uids), nulls(m)),
+            "doc_id": both(np.concatenate(ids), nulls(m)),
+            "at": both(np.concatenate(places), nulls(m)),
+            "anchor": both(nulls(n), [h for _, h in texts]),
+            "text": pa.chunked_array([pa.nulls(n, pa.binary()), pa.array([x[0] for x in facts], pa.binary())]),
+            "low": both(nulls(n), [x[1] for x in facts]),
+            "high": both(nulls(n), [x[2] for x in facts]),
+        }
+    )
 
 
 def _ranges(k1: np.ndarray, k2: np.ndarray, which: np.ndarray, offset: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
@@ -239,15 +264,15 @@ def _strings_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
 
 def _least_ids(texts: DataFrame, length: int) -> DataFrame:
     """Rows (k1, k2, from, to, least) for rows (anchor, k1, k2, text, low, high): the offsets whose string several ids have, and the least of these."""
-    hot = written(texts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "hot")
+    hot = written(texts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor"), "hot")
     rest = texts if hot.isEmpty() else texts.join(hot, "anchor", "left_anti")
     found = rest.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(partial(_by_suffix_array, length=length), RANGES)
     if hot.isEmpty():
         return found
-    strings = texts.join(hot.select("anchor"), "anchor").dropDuplicates(["k1", "k2"]).mapInArrow(partial(_strings_of, length=length), "w1 long, w2 long, k1 long, k2 long, `from` long, low long, high long")
-    strings = written(strings, "strings")
+    strings = texts.join(hot, "anchor").mapInArrow(partial(_strings_of, length=length), "w1 long, w2 long, k1 long, k2 long, `from` long, low long, high long")
     least = strings.groupBy("w1", "w2").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("w1", "w2", "least")
-    return found.union(strings.join(least, ["w1", "w2"]).select("k1", "k2", "from", F.col("from").alias("to"), "least"))
+    places = strings.select("w1", "w2", "k1", "k2", "from").distinct()
+    return found.union(places.join(least, ["w1", "w2"]).select("k1", "k2", "from", F.col("from").alias("to"), "least"))
 
 
 def _removed(docs: pa.Table, spans: pa.Table, length: int, keep: bool) -> pa.Table:
@@ -276,25 +301,12 @@ def _removed(docs: pa.Table, spans: pa.Table, length: int, keep: bool) -> pa.Tab
     return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "spans": pa.array(runs, kind), "kept": pa.array(kept, pa.binary() if keep else pa.string())})
 
 
-def _bucketed(docs: DataFrame) -> DataFrame:
-    """The documents with a group g and a row number uid, written in buckets of g."""
-    spark = docs.sparkSession
-    uid = F.monotonically_increasing_id()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_or_empty(), "UTF-8").alias("text"), uid.alias("uid"))
-    rows = rows.withColumn("g", F.shiftrightunsigned("uid", 33) * PARTS + F.pmod(F.xxhash64("uid"), F.lit(PARTS)))
-    path = scratch_path(spark, "documents")
-    name = "factloom_" + path.rsplit("-", 1)[1]
-    n = min(4096, max(8, rows.rdd.getNumPartitions() * 2))
-    rows.write.option("path", path).option("compression", "zstd").bucketBy(n, "g").format("parquet").saveAsTable(name)
-    return spark.table(name)
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) -> DataFrame:
     """Rows (doc_id, n_bytes, spans, kept): removed runs of bytes (from, to), and the rest as binary (its SHA-256 in hex if not keep)."""
     if length < 2 * GRAM:
         raise ValueError(f"length is at least {2 * GRAM}")
-    docs = _bucketed(docs)
-    hashed = docs.select("g", "uid", "doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")).where(F.col("doc_id").isNotNull())
+    docs = grouped_documents(docs, "suffix")
+    hashed = docs.select("g", "uid", "doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).where(F.col("doc_id").isNotNull())
     hashed = written(hashed, "hashes")
     first = hashed.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     copies = written(hashed.where(F.col("n") >= length).join(first, ["h1", "h2", "n"]).where("doc_id > least").select("g", "uid", F.col("n").cast("long").alias("n")), "copies")
@@ -304,17 +316,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) ->
     def with_docs(side: DataFrame, f, schema: str) -> DataFrame:
         return docs.groupBy("g").cogroup(side.groupBy("g")).applyInArrow(f, schema)
 
+    def step(df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove shuffle files that nothing reads again
+        return out
+
     sent = with_docs(copies.select("g", "uid"), lambda d, s: _send_anchors(d, s, length, buckets), "bucket long, g long, once binary, more binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer, "g long, bucket long, hot binary, uid long")
-    side = answers.union(copies.select("g", F.lit(None).cast("long"), F.lit(None).cast("binary"), "uid"))
-    side = written(side, "answers")
-    places = written(with_docs(side, lambda d, s: _send_surroundings(d, s, length, buckets), "k1 long, k2 long, g long, uid long, doc_id long, at long, anchor long, text binary"), "places")
-    # the ids that a string stands for: all places; its text: where a group has it first
-    ids = places.groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    texts = places.where("text is not null").select("anchor", "k1", "k2", "text").join(ids, ["k1", "k2"])
-    least = written(_least_ids(texts, length), "ranges")
-    hits = places.select("k1", "k2", "g", "uid", "doc_id", "at").join(least, ["k1", "k2"]).where("least < doc_id")
-    spans = hits.select("g", "uid", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to") + length).alias("to"))
+    side = step(answers.union(copies.select("g", F.lit(None).cast("long"), F.lit(None).cast("binary"), "uid")), "answers")
+    found = step(with_docs(side, lambda d, s: _send_surroundings(d, s, length, buckets), PLACES), "places")
+    least = step(_least_ids(found.where("text is not null").select("anchor", "k1", "k2", "text", "low", "high"), length), "ranges")
+    hits = found.where("uid is not null").select("k1", "k2", "uid", "doc_id", "at").join(least, ["k1", "k2"]).where("least < doc_id")
+    spans = hits.select(group_of("uid").alias("g"), "uid", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to") + length).alias("to"))
     spans = spans.union(copies.select("g", "uid", F.lit(0).cast("long"), "n"))
     return with_docs(spans, lambda d, s: _removed(d, s, length, keep), f"doc_id long, n_bytes long, spans array<struct<from: long, to: long>>, kept {'binary' if keep else 'string'}")
 
