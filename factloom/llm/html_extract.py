@@ -53,6 +53,17 @@ words links words_before links_before words_after links_after place part heading
 3 0 120 0.1 9 0 2 0 0 1
 30 0.4 60 0 70 0 2 0 0 1
 6 1 60 0 70 0 2 0 0 1
+1 0 0 0 0 0 2 0 0 1
+5 0 0 0 0 0 2 0 0 1
+2 0 2 0 0 0 2 0 0 1
+3 0 0 0 3 0 2 0 0 1
+4 0 1 1 0 0 2 0 0 1
+40 0 1 1 9 0 2 0 0 1
+6 0 2 1 1 1 2 0 0 1
+25 0 1 1 1 1 2 0 0 1
+3 0 1 1 40 0 2 0 1 1
+12 0 5 0 1 1 2 0 0 1
+2 0 5 0 1 1 2 0 1 1
 7 0.3 3 0 1 0 2 0 0 1
 7 0.3 3 0 40 0 2 0 1 1
 8 0.5 1 0 1 0 2 0 0 1
