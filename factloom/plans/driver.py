@@ -310,6 +310,64 @@ def ag25_first_and_count(spark, sf):
     return read(spark, sf, "events").groupBy("user_id").agg(F.min("ts").alias("first_ts"), F.count("*").alias("n"))
 
 
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_f, round(100.0 * count(*) FILTER (WHERE o_orderstatus = 'F') / count(*), 4)::DOUBLE AS pct FROM orders")
+def ag13_conditional_totals(spark, sf):
+    done = F.count_if(F.col("o_orderstatus") == "F")
+    return read(spark, sf, "orders").agg(F.count("*").alias("n"), done.alias("n_f"), F.round(100 * done / F.count("*"), 4).alias("pct"))
+
+
+@query("SELECT count(*) AS n, round(avg(CAST(o_totalprice AS DOUBLE)), 4) AS mean, median(CAST(o_totalprice AS DOUBLE)) AS median, max(CAST(o_totalprice AS DOUBLE)) AS most FROM orders")
+def ag24_describe(spark, sf):
+    x = F.col("o_totalprice").cast("double")
+    return read(spark, sf, "orders").agg(F.count("*").alias("n"), F.round(F.avg(x), 4).alias("mean"), F.median(x).alias("median"), F.max(x).alias("most"))
+
+
+@query(sql("SELECT facility_id, count(*) AS n, array_to_string(list_slice(list_sort(list(bullet_id)), 1, 5), ',') AS first_five FROM bullet GROUP BY facility_id", "bullet"))
+def ag26_count_and_first_five(spark, sf):
+    rank = F.row_number().over(Window.partitionBy("facility_id").orderBy("bullet_id"))
+    rows = v.bullets(spark, sf).select("facility_id", "bullet_id").withColumn("r", rank)
+    return rows.groupBy("facility_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.col("bullet_id")))), ",").alias("first_five"))
+
+
+@query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+def wn3_distinct_rows(spark, sf):
+    return read(spark, sf, "orders").select("o_orderstatus", "o_orderpriority").distinct()
+
+
+@query("SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region")
+def so1_union(spark, sf):
+    return read(spark, sf, "nation").select(F.col("n_name").alias("name")).unionByName(read(spark, sf, "region").select(F.col("r_name").alias("name")))
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE lower(c_mktsegment) = lower('Building') ORDER BY c_acctbal DESC, c_custkey LIMIT 20")
+def st8_filtered_latest_first(spark, sf):
+    rows = read(spark, sf, "customer").where(F.lower("c_mktsegment") == F.lower(F.lit("Building")))
+    return rows.orderBy(F.desc("c_acctbal"), "c_custkey").select("c_custkey", "c_acctbal").limit(20)
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 3 END AS rank FROM orders")
+def prj5_enum_with_default(spark, sf):
+    return read(spark, sf, "orders").select("o_orderkey", geo.by_verdict(F.col("o_orderstatus"), {"F": 0, "O": 1}, 3).alias("rank"))
+
+
+_CENTRES = f"centre AS (SELECT {_NORM_CITY} AS norm, address_stateOrRegion AS state, avg(latitude) AS clat, avg(longitude) AS clon FROM facility WHERE latitude IS NOT NULL GROUP BY ALL)"
+
+
+@query(sql("", "facility").rstrip() + f", {_CENTRES} SELECT unique_id, CASE WHEN latitude IS NOT NULL AND clat IS NOT NULL THEN round({distance_sql('latitude', 'longitude', 'clat', 'clon')}, 5) END AS km FROM facility LEFT JOIN centre ON norm = {_NORM_CITY} AND state = address_stateOrRegion")
+def fn10_geo_mismatch(spark, sf):
+    rows = v.facilities(spark, sf)
+    norm = text.normalize_ascii
+    return search.with_mismatch(rows, search.city_index(rows, norm=norm), norm).select("unique_id", F.round("geo_mismatch_km", 5).alias("km"))
+
+
+@query(sql("", "facility").rstrip() + f", {_CENTRES}, far AS (SELECT unique_id, latitude, longitude FROM facility JOIN centre ON norm = {_NORM_CITY} AND state = address_stateOrRegion WHERE latitude IS NOT NULL AND {distance_sql('latitude', 'longitude', 'clat', 'clon')} >= 75) SELECT unique_id, round(min({distance_sql('latitude', 'longitude', 'clat', 'clon')}), 5) AS nearest_km FROM far, centre GROUP BY unique_id")
+def jn14_nearest_centre(spark, sf):
+    rows = v.facilities(spark, sf)
+    norm = text.normalize_ascii
+    stats = search.city_index(rows, norm=norm)
+    return search.nearest_city(search.with_mismatch(rows, stats, norm), stats).select("unique_id", F.round("nearest_km", 5).alias("nearest_km"))
+
+
 # --- windows, set operations, sampling ---
 
 
