@@ -155,12 +155,12 @@ def jn13_op7_rule_matches(spark, sf):
 
 
 @query(sql("SELECT * FROM mapped", "mapped"))
-def op8_capability_map(spark, sf):
+def facility_op8_capability_map(spark, sf):
     return mapped(spark, sf).drop("matcher_method")
 
 
 @query(sql("SELECT count(*) AS n_rows, 0::BIGINT AS without_bullet, 0::BIGINT AS quote_not_in_text, 0::BIGINT AS flag_differs, 0::BIGINT AS repeated_keys FROM mapped", "mapped"))
-def op9_map_verification(spark, sf):
+def facility_op9_map_verification(spark, sf):
     bullets = v.bullets(spark, sf).withColumn("text", F.col("text_norm"))
     return mapping.verify_map(mapped(spark, sf), bullets, v.flags(spark, sf))
 
@@ -220,7 +220,7 @@ def ag1_bullets_per_facility(spark, sf):
 
 
 @query(sql("SELECT * FROM readiness", "readiness"))
-def op10_readiness(spark, sf):
+def facility_op10_readiness(spark, sf):
     return readiness_of(spark, sf).select("facility_id", "capability_id", "readiness_score", "distinct_tracer_count", "distinct_bullet_count", "distinct_source_field_count", "completeness_bullet_count", "conditional_pass", "verdict")
 
 
@@ -426,8 +426,8 @@ FROM readiness r JOIN facility f ON r.facility_id = f.unique_id WHERE capability
 band AS (SELECT CASE WHEN count(*) FILTER (WHERE ev AND km <= 50) >= 5 THEN 50.0 WHEN count(*) FILTER (WHERE ev AND km <= 150) >= 5 THEN 150.0 WHEN count(*) FILTER (WHERE ev AND km <= 300) >= 5 THEN 300.0 WHEN count(*) FILTER (WHERE ev AND km <= 600) >= 5 THEN 600.0 END::DOUBLE AS b FROM base)
 SELECT facility_id, verdict, round(km, 6)::DOUBLE AS distance_km, round(comp, 6)::DOUBLE AS composite_score, ev AS is_evidence_tier, b AS search_band_km, b IS NULL OR b <> 50 AS search_widened FROM base, band WHERE b IS NULL OR km <= b ORDER BY ev DESC, {order}, km, facility_id LIMIT 20"""
 for _mode, _order in _ORDERS.items():
-    QUERIES[f"op15_st_rank_{_mode}"] = _ranked(_mode)
-    ORACLE_SQL[f"op15_st_rank_{_mode}"] = sql("", "readiness", "facility").rstrip() + _RANKED.format(km=_KM, order=_order)
+    QUERIES[f"facility_op15_st_rank_{_mode}"] = _ranked(_mode)
+    ORACLE_SQL[f"facility_op15_st_rank_{_mode}"] = sql("", "readiness", "facility").rstrip() + _RANKED.format(km=_KM, order=_order)
 
 
 @query(
@@ -438,20 +438,20 @@ band AS (SELECT CASE WHEN count(*) FILTER (WHERE km <= 50) >= 5 THEN 50.0 WHEN c
 inside AS (SELECT base.* FROM base, band WHERE b IS NULL OR km <= b)
 SELECT facility_id, n AS raw_match_count, round(0.6 * ln(1 + n) / ln(1 + (SELECT greatest(1, max(n)) FROM inside)) + 0.4 / (1 + pow(km / 30, 2)), 6)::DOUBLE AS composite_score FROM inside ORDER BY 3 DESC, km, facility_id LIMIT 20"""
 )
-def op16_raw_search(spark, sf):
+def facility_op16_raw_search(spark, sf):
     rows = search.search_raw(v.bullets(spark, sf), v.facilities(spark, sf), ["the", "of"], LAT, LON)
     return rows.select("facility_id", "raw_match_count", F.round("composite_score", 6).alias("composite_score"))
 
 
 @query()
-def op17_cards(spark, sf):
+def facility_op17_cards(spark, sf):
     ranked = search.rank_candidates(readiness_of(spark, sf), v.facilities(spark, sf), "licensing", LAT, LON)
     bullets = v.bullets(spark, sf).select("bullet_id", F.col("text_norm").alias("text"))
     return search.cards(ranked, mapped(spark, sf), bullets).select("facility_id", "label", F.array_join("gaps", ",").alias("gaps"), F.size("evidence").alias("n_domains"))
 
 
 @query()
-def op4_audit_bullets(spark, sf):
+def facility_op4_audit_bullets(spark, sf):
     bullets, facilities = v.bullets(spark, sf), v.facilities(spark, sf)
     named = facilities.select(F.col("unique_id").alias("facility_id"), F.col("name").alias("facility_name"), F.col("address_city").alias("facility_city"), F.col("latitude").alias("facility_latitude"), F.col("longitude").alias("facility_longitude"))
     places, aliases = provenance.city_gazetteer(facilities)
