@@ -70,4 +70,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op4_benchmark_decontamination": decontaminate.ORACLE_SQL,
     "op6_exact_top_k": topk.ORACLE_SQL,
+    "op9_suffix_array_dedup": suffix_dedup.ORACLE_SQL,
 }

@@ -6,8 +6,9 @@ LENGTH bytes. So it suffices to compare what stands around equal anchors:
 1. The documents are written once, bucketed by group (a few MB of text), so that later steps read them group by group without a shuffle.
 2. Exact copies of a document with a smaller id need no comparison: all their bytes go. Only hashes move.
 3. Each group sends its distinct anchor hashes (32 bits each, packed by hash bucket); buckets answer which occur in several documents.
-4. Groups send the surroundings of those anchors, each distinct one once, and where it stands.
-5. Surroundings meet by anchor. Suffix arrays (two-stage sorting) and adjacent common prefixes of at least LENGTH give, for each place, the least
+4. Groups send where those anchors stand, with a hash of the surroundings. Of each distinct surrounding one place is asked for its text; an anchor whose
+   surroundings are all equal needs none.
+5. The texts meet by anchor. Suffix arrays (two-stage sorting) and adjacent common prefixes of at least LENGTH give, for each place, the least
    document that has the same LENGTH bytes. Anchors with more than HOT surroundings are not brought together: each of their
    strings of LENGTH bytes is aggregated by itself, with the same result.
 6. The answers go back to the places, and each group removes the bytes they cover.
@@ -152,11 +153,11 @@ def _answer(sent: pa.Table) -> pa.Table:
     return pa.table({"g": pa.array([groups[i] for i in keep], pa.int64()), "bucket": pa.array([bucket] * len(keep), pa.int64()), "hot": pa.array([out[i].tobytes() for i in keep], pa.binary()), "uid": pa.array([None] * len(keep), pa.int64())})
 
 
-PLACES = "k1 long, k2 long, uid long, doc_id long, at long, anchor long, text binary, low long, high long"
+PLACES = "k1 long, k2 long, uid long, doc_id long, at int, n int, anchor long"
 
 
-def _send_surroundings(docs: pa.Table, side: pa.Table, length: int, buckets: int) -> pa.Table:
-    """Places (k1, k2, uid, doc_id, at); and, once for each anchor and text of the group, (k1, k2, anchor, text, low, high) with its least and greatest id."""
+def _send_places(docs: pa.Table, side: pa.Table, length: int, buckets: int) -> pa.Table:
+    """Rows PLACES: where wanted anchors stand, each with a hash of its surroundings (n bytes from `at` on)."""
     hot, copies = [np.zeros(0, dtype=np.uint64)], set()
     for b, h, u in zip(side.column("bucket").to_pylist(), side.column("hot").to_pylist(), side.column("uid").to_pylist()):
         if u is not None:
@@ -166,8 +167,7 @@ def _send_surroundings(docs: pa.Table, side: pa.Table, length: int, buckets: int
     wanted = np.unique(np.concatenate(hot))
     none = np.zeros(0, dtype=np.int64)
     keys: list[bytes] = []
-    uids, ids, places = [none], [none], [none]
-    texts: dict[tuple[bytes, int], list] = {}
+    columns: dict[str, list[np.ndarray]] = {c: [none] for c in ("uid", "doc_id", "at", "n", "anchor")}
     row_uid = np.array(docs.column("uid").to_pylist(), dtype=np.int64)
     row_id = np.array([-1 if d is None else d for d in docs.column("doc_id").to_pylist()], dtype=np.int64)
     reach = length - GRAM
@@ -176,40 +176,30 @@ def _send_surroundings(docs: pa.Table, side: pa.Table, length: int, buckets: int
         text, doc, begin = _joined(docs, slab)
         at, hashes = anchors(text, doc, length)
         keep = _among(((hashes % np.uint64(buckets)) << np.uint64(32)) | (hashes >> np.uint64(32)), wanted)
-        at, hashes = at[keep], hashes[keep].view(np.int64)
+        at, hashes = at[keep], hashes[keep]
         raw = text.tobytes()
         end = np.concatenate([begin[1:], [len(text)]])
         owner = doc[at]
         low, high = np.maximum(begin[owner], at - reach), np.minimum(end[owner], at + length)
-        uids.append(row_uid[slab[owner]])
-        ids.append(row_id[slab[owner]])
-        places.append(low - begin[owner])
-        for a, b, h, d in zip(low.tolist(), high.tolist(), hashes.tolist(), ids[-1].tolist()):
-            part = raw[a:b]
-            k = digest(part)
-            keys.append(k)
-            if x := texts.get((k, h)):
-                x[1], x[2] = min(x[1], d), max(x[2], d)
-            else:
-                texts[k, h] = [part, d, d]
-    n, m = len(keys), len(texts)
-    key = np.frombuffer(b"".join(keys) + b"".join(k for k, _ in texts), dtype="<i8").reshape(-1, 2)
-    nulls = lambda size: pa.nulls(size, pa.int64())
-    both = lambda x, y: pa.chunked_array([pa.array(x, pa.int64()) if not isinstance(x, pa.Array) else x, pa.array(y, pa.int64()) if not isinstance(y, pa.Array) else y])
-    facts = list(texts.values())
-    return pa.table(
-        {
-            "k1": pa.array(key[:, 0]),
-            "k2": pa.array(key[:, 1]),
-            "uid": both(np.concatenate(uids), nulls(m)),
-            "doc_id": both(np.concatenate(ids), nulls(m)),
-            "at": both(np.concatenate(places), nulls(m)),
-            "anchor": both(nulls(n), [h for _, h in texts]),
-            "text": pa.chunked_array([pa.nulls(n, pa.binary()), pa.array([x[0] for x in facts], pa.binary())]),
-            "low": both(nulls(n), [x[1] for x in facts]),
-            "high": both(nulls(n), [x[2] for x in facts]),
-        }
-    )
+        keys += [digest(raw[a:b]) for a, b in zip(low.tolist(), high.tolist())]
+        for c, x in (("uid", row_uid[slab[owner]]), ("doc_id", row_id[slab[owner]]), ("at", low - begin[owner]), ("n", high - low), ("anchor", hashes.view(np.int64))):
+            columns[c].append(x)
+    key = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
+    kinds = {"at": pa.int32(), "n": pa.int32()}
+    return pa.table({"k1": pa.array(key[:, 0]), "k2": pa.array(key[:, 1]), **{c: pa.array(np.concatenate(x), kinds.get(c, pa.int64())) for c, x in columns.items()}})
+
+
+def _texts_of(docs: pa.Table, asked: pa.Table) -> pa.Table:
+    """Rows (anchor, k1, k2, text, low, high): the surroundings asked for by uid, at and n."""
+    row = {u: i for i, u in enumerate(docs.column("uid").to_pylist())}
+    column_of = docs.column("text")
+    cache: dict[int, bytes] = {}
+    texts = []
+    for u, at, n in zip(asked.column("uid").to_pylist(), asked.column("at").to_pylist(), asked.column("n").to_pylist()):
+        if u not in cache:
+            cache = {u: column_of[row[u]].as_py()} if len(cache) > 64 else {**cache, u: column_of[row[u]].as_py()}
+        texts.append(cache[u][at : at + n])
+    return pa.table({**{c: asked.column(c) for c in ("anchor", "k1", "k2")}, "text": pa.array(texts, pa.binary()), "low": asked.column("low"), "high": asked.column("high"), "n_texts": asked.column("n_texts")})
 
 
 def _ranges(k1: np.ndarray, k2: np.ndarray, which: np.ndarray, offset: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
@@ -262,17 +252,12 @@ def _strings_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()), pa.array(np.arange(n)), pa.array([low] * n, pa.int64()), pa.array([high] * n, pa.int64())], names=["w1", "w2", "k1", "k2", "from", "low", "high"])
 
 
-def _least_ids(texts: DataFrame, length: int) -> DataFrame:
-    """Rows (k1, k2, from, to, least) for rows (anchor, k1, k2, text, low, high): the offsets whose string several ids have, and the least of these."""
-    hot = written(texts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor"), "hot")
-    rest = texts if hot.isEmpty() else texts.join(hot, "anchor", "left_anti")
-    found = rest.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(partial(_by_suffix_array, length=length), RANGES)
-    if hot.isEmpty():
-        return found
-    strings = texts.join(hot, "anchor").mapInArrow(partial(_strings_of, length=length), "w1 long, w2 long, k1 long, k2 long, `from` long, low long, high long")
+def _by_strings(texts: DataFrame, length: int) -> DataFrame:
+    """The same answers for anchors with more than HOT surroundings: each string of `length` bytes is aggregated by itself."""
+    strings = texts.mapInArrow(partial(_strings_of, length=length), "w1 long, w2 long, k1 long, k2 long, `from` long, low long, high long")
     least = strings.groupBy("w1", "w2").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("w1", "w2", "least")
     places = strings.select("w1", "w2", "k1", "k2", "from").distinct()
-    return found.union(places.join(least, ["w1", "w2"]).select("k1", "k2", "from", F.col("from").alias("to"), "least"))
+    return places.join(least, ["w1", "w2"]).select("k1", "k2", "from", F.col("from").alias("to"), "least")
 
 
 def _removed(docs: pa.Table, spans: pa.Table, length: int, keep: bool) -> pa.Table:
@@ -324,9 +309,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) ->
     sent = with_docs(copies.select("g", "uid"), lambda d, s: _send_anchors(d, s, length, buckets), "bucket long, g long, once binary, more binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer, "g long, bucket long, hot binary, uid long")
     side = step(answers.union(copies.select("g", F.lit(None).cast("long"), F.lit(None).cast("binary"), "uid")), "answers")
-    found = step(with_docs(side, lambda d, s: _send_surroundings(d, s, length, buckets), PLACES), "places")
-    least = step(_least_ids(found.where("text is not null").select("anchor", "k1", "k2", "text", "low", "high"), length), "ranges")
-    hits = found.where("uid is not null").select("k1", "k2", "uid", "doc_id", "at").join(least, ["k1", "k2"]).where("least < doc_id")
+    places = step(with_docs(side, lambda d, s: _send_places(d, s, length, buckets), PLACES), "places")
+    # each distinct text of an anchor with the least and greatest id that has it, and one place where it can be read
+    by_text = places.groupBy("anchor", "k1", "k2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("uid", "at", "n")).alias("rep"))
+    by_text = step(by_text, "surroundings")
+    by_anchor = by_text.groupBy("anchor").agg(F.count("*").alias("n_texts"), F.min("low").alias("least"), F.max("high").alias("most"), F.min(F.struct("k1", "k2", "rep.n")).alias("one")).where("least < most")
+    by_anchor = step(by_anchor, "anchors")
+    # an anchor with one text only: all its places have the same bytes
+    sole = by_anchor.where("n_texts = 1").select("one.k1", "one.k2", F.lit(0).cast("long").alias("from"), (F.col("one.n") - length).cast("long").alias("to"), "least")
+    asked = by_text.join(by_anchor.where("n_texts > 1").select("anchor", "n_texts"), "anchor").select("anchor", "k1", "k2", "low", "high", "n_texts", "rep.uid", "rep.at", "rep.n", group_of("rep.uid").alias("g"))
+    texts = step(with_docs(asked, _texts_of, "anchor long, k1 long, k2 long, text binary, low long, high long, n_texts long"), "texts")
+    arrays = texts.where(F.col("n_texts") <= HOT).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(partial(_by_suffix_array, length=length), RANGES)
+    least = sole.union(arrays)
+    if not texts.where(F.col("n_texts") > HOT).isEmpty():
+        least = least.union(_by_strings(texts.where(F.col("n_texts") > HOT), length))
+    least = step(least, "ranges")
+    hits = places.select("k1", "k2", "uid", "doc_id", "at").join(least, ["k1", "k2"]).where("least < doc_id")
     spans = hits.select(group_of("uid").alias("g"), "uid", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to") + length).alias("to"))
     spans = spans.union(copies.select("g", "uid", F.lit(0).cast("long"), "n"))
     return with_docs(spans, lambda d, s: _removed(d, s, length, keep), f"doc_id long, n_bytes long, spans array<struct<from: long, to: long>>, kept {'binary' if keep else 'string'}")
@@ -335,3 +333,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) ->
 def digest(found: DataFrame) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["from"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.col("kept").alias("kept_sha256"))
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT rid, doc_id, p, substring(h, 2 * p + 1, 100) AS s FROM d, unnest(range(0, n - 49)) AS u(p) WHERE n >= 50),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+f AS (SELECT rid, p FROM w JOIN m USING (s) WHERE least < doc_id),
+g AS (SELECT rid, p, sum(CASE WHEN before IS NULL OR p > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY p) AS k FROM (SELECT *, lag(p) OVER (PARTITION BY rid ORDER BY p) AS before FROM f)),
+r AS (SELECT rid, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY rid, k),
+c AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS done FROM r),
+t AS (SELECT rid, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substring(h, 2 * done + 1, 2 * (a - done)), '' ORDER BY a) AS head, max(b) AS last FROM c JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(CASE WHEN last IS NULL THEN h ELSE head || substring(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN t USING (rid)
+"""
