@@ -45,7 +45,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer_at(path)
         item = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, most=8 << 20):
+        for batch in slices(batches, most=4 << 20):
             flat, counts = tok.encode_many(column(batch, "text"))
             ends = np.cumsum(counts + 1)
             stream = np.full(int(ends[-1]), separator, dtype="<u4")

@@ -78,7 +78,7 @@ def sequences(docs: DataFrame, tokenizer: str | None = None, length: int = LENGT
             done += n
             return out
 
-        for batch in slices(batches, most=8 << 20):
+        for batch in slices(batches, most=4 << 20):
             flat, counts = tok.encode_many(column(batch, "text"))
             stops = np.cumsum(counts + 1)
             stream = np.full(int(stops[-1]), end, dtype=tok.dtype)
