@@ -236,6 +236,41 @@ def test_line_dedup(spark, monkeypatch, bucket):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def edit_similar(a, b):
+    prev = np.arange(len(b) + 1)
+    for i, x in enumerate(a, 1):
+        cur = np.concatenate([[i], np.minimum(prev[1:] + 1, prev[:-1] + np.array([x != y for y in b]))])
+        prev = np.minimum.accumulate(cur - np.arange(len(cur))) + np.arange(len(cur))
+    return 5 * prev[-1] <= max(len(a), len(b))
+
+
+@pytest.mark.parametrize("bucket", [64, 2])
+def test_lines_of_edit_similarity_are_found(spark, monkeypatch, bucket):
+    """Against edit similarity alone: one line stays of each pair, whatever its length, and all of two lines that aren't similar."""
+    monkeypatch.setattr(line_dedup, "BUCKET", bucket)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 10)))
+    pairs = [("own line 1954", "own line 19540"), ("abcde", "abxde"), ("hello world", "helo wrld"), ("buy now " * 19, "buy now " * 20), ("buy now " * 60, "buy now " * 30 + "buy not " + "buy now " * 29), ("z" * 200, "z" * 190)]
+    for n in (4, 7, 10, 20, 30, 50, 120):
+        for share in (0.05, 0.1, 0.15):
+            words = [word() for _ in range(n)]
+            other = list(words)
+            for k in rng.sample(range(n), max(1, int(share * n))):
+                other[k] = word()[: len(words[k])]
+            pairs.append((" ".join(words), " ".join(other)))
+    for a, b in pairs:
+        near = edit_similar(a.strip(), b.strip())
+        pair = documents(spark, [(1, a), (2, b)]) if a.startswith(("buy", "zzz")) else None
+        if pair is not None:
+            assert near and [r.text for r in line_dedup.dedup_lines(pair).orderBy("doc_id").collect()] == [a, ""]
+    rest = [(a, b) for a, b in pairs if not a.startswith(("buy", "zzz"))]
+    rows = [(k, a) for k, (a, _) in enumerate(rest)] + [(1000 + k, b) for k, (_, b) in enumerate(rest)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    similar = [edit_similar(a, b) for a, b in rest]
+    assert sum(similar) >= 20
+    assert [got[1000 + k] for k in range(len(rest))] == ["" if near else b for (_, b), near in zip(rest, similar)]
+
+
 def test_long_lines_use_wider_counters(spark):
     norms = [" ".join(f"w{k % m}" for k in range(n)) for n, m in ((127, 9), (128, 9), (129, 50), (40_000, 7))]
     got = line_dedup.with_sim_hash(spark.createDataFrame([(n,) for n in norms], "norm string")).collect()
