@@ -11,13 +11,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MAX_SLICE_BYTES = 4 << 20
-#: Parts of an input partition that are groups of their own.
-PARTS = 4
+#: Text of one group of documents; buckets of groups at most.
+GROUP_BYTES, MOST_BUCKETS = 8 << 20, 1 << 16
+#: A key with over one in HOT_SHARE of the rows is joined by broadcast; there are fewer than HOT_SHARE of them.
+HOT_SHARE = 1000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -47,11 +49,15 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+#: For tables with wide rows: buffers that a writer fills before it writes them.
+SMALL_BUFFERS = {"parquet.block.size": str(8 << 20), "parquet.page.size": str(128 << 10), "parquet.enable.dictionary": "false"}
+
+
+def written(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Cuts the lineage by a written table in the shared folder: later jobs reread it when executors are lost."""
     spark = df.sparkSession
-    path = path or scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path = scratch_path(spark, name)
+    df.write.options(**(options or {})).option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._factloom_path = path
     return out
@@ -67,22 +73,46 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def group_of(uid: str):
-    """The group of a row: its input partition (the high bits of its number) and a part of that."""
-    return F.shiftrightunsigned(uid, 33) * PARTS + F.pmod(F.xxhash64(uid), F.lit(PARTS))
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds uid (partition and place in it) and g: a new group begins after every GROUP_BYTES of text."""
+    first = TaskContext.get().partitionId() << 33
+    place, size = 0, 0
+    for batch in slices(batches, most=GROUP_BYTES):
+        lens = np.asarray(pc.binary_length(column(batch, "text")), dtype=np.int64)
+        before = size + np.cumsum(lens) - lens
+        uid = first + place + np.arange(batch.num_rows)
+        g = (first >> 9) + before // GROUP_BYTES
+        place, size = place + batch.num_rows, size + int(lens.sum())
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text"), pa.array(uid), pa.array(g)], names=["doc_id", "text", "uid", "g"])
 
 
 def grouped_documents(docs: DataFrame, name: str) -> DataFrame:
-    """Rows (doc_id, text as UTF-8 binary, uid, g) in a table bucketed by g: groups of a few MB that later steps read without a shuffle."""
+    """Rows (doc_id, text as UTF-8 binary, uid, g) in a table bucketed by g, that later steps read group by group without a shuffle.
+
+    A group is a run of rows of one input partition with GROUP_BYTES of text, or one row that is longer.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_or_empty(), "UTF-8").alias("text"), F.monotonically_increasing_id().alias("uid")).withColumn("g", group_of("uid"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_or_empty(), "UTF-8").alias("text"))
     path = scratch_path(spark, "documents")
     table = f"factloom_{name}_{path.rsplit('-', 1)[1]}"
-    n = min(4096, max(8, rows.rdd.getNumPartitions() * 2))
-    rows.write.option("path", path).option("compression", "zstd").bucketBy(n, "g").format("parquet").saveAsTable(table)
+    n = min(MOST_BUCKETS, max(8, rows.rdd.getNumPartitions() * 2))
+    grouped = rows.mapInArrow(_grouped, "doc_id long, text binary, uid long, g long")
+    grouped.write.option("path", path).option("compression", "zstd").bucketBy(n, "g").format("parquet").saveAsTable(table)
     return spark.table(table)
 
 
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """rows joined with facts (one row for each key; `weight`: how many of rows have it, which is dropped).
+
+    Keys with over one in HOT_SHARE of all rows, fewer than HOT_SHARE by that, are broadcast, so no task gets a hot key; the others are shuffled.
+    """
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * HOT_SHARE > F.lit(total)
+    hot_facts = F.broadcast(facts.where(hot).drop(weight))
+    rest = rows.join(F.broadcast(facts.where(hot).select(*keys)), keys, "left_anti")
+    return rows.join(hot_facts, keys).unionByName(rest.join(facts.where(~hot).drop(weight), keys))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = MAX_SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the column holds about `most` bytes in each slice (one row at least)."""
     for batch in batches:
@@ -101,6 +131,3 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
-
-def schema_of(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)

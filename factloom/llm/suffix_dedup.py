@@ -1,42 +1,43 @@
 """Exact substring removal with suffix arrays, over all documents at once.
 
-Two documents that share LENGTH bytes share an anchor in them: of the hashes of GRAM consecutive bytes the least in each window of
-LENGTH bytes. So it suffices to compare what stands around equal anchors:
-
-1. The documents are written once, bucketed by group (a few MB of text), so that later steps read them group by group without a shuffle.
-2. Exact copies of a document with a smaller id need no comparison: all their bytes go. Only hashes move.
-3. Each group sends its distinct anchor hashes (32 bits each, packed by hash bucket); buckets answer which occur in several documents.
-4. Groups send where those anchors stand, with a hash of the surroundings. Of each distinct surrounding one place is asked for its text; an anchor whose
-   surroundings are all equal needs none.
-5. The texts meet by anchor. Suffix arrays (two-stage sorting) and adjacent common prefixes of at least LENGTH give, for each place, the least
-   document that has the same LENGTH bytes. Anchors with more than HOT surroundings are not brought together: each of their
-   strings of LENGTH bytes is aggregated by itself, with the same result.
-6. The answers go back to the places, and each group removes the bytes they cover.
+Two documents that share LENGTH bytes share the anchor of them: the least hash of GRAM consecutive bytes in these LENGTH. So it suffices to compare runs
+of neighbouring strings of LENGTH bytes with one anchor:
+
+1. The documents are written once, bucketed by group (GROUP_BYTES of text), so that later steps read them group by group without a shuffle.
+2. Each group sends its distinct anchors (32 bits each, packed by hash bucket); buckets answer which several documents have.
+3. Each group sends the distinct texts of the runs under these, with the least and greatest id that has each, compressed by bucket of the anchor. Under an anchor that
+   over SPLIT groups have, each string of LENGTH bytes goes alone, to the bucket of its own hash, so the many texts around a very common anchor spread over all tasks.
+4. In each bucket suffix arrays (two-stage sorting) of whole anchors' texts and adjacent common prefixes of at least LENGTH give, for each place in a text, the
+   least document that has the same LENGTH bytes.
+5. The answers go back in the order of the texts sent; each group finds its runs again and removes the bytes they cover.
+
+All removals are decided by suffix arrays, those of whole copies too. Nothing but these packed rows moves; texts of documents stay in their groups.
 
 Nulls and edges: a null text is empty. A null doc_id is no smaller than any and none is smaller than it: such rows are kept whole. Rows that
-repeat a doc_id don't count against each other. Each row gives one row; an empty table gives an empty result; other columns are ignored.
+repeat a doc_id don't count against each other. Texts of any length are compared whole. Each row gives one row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import column, group_of, grouped_documents, written
+from factloom.llm.common import grouped_documents, written
 from factloom.llm.suffix_array import repeated
 
 LENGTH, GRAM = 50, 16
-#: Surroundings of one anchor that one task compares; bytes of strings in one suffix array.
-HOT, RUN_BYTES = 20_000, 1 << 20
-#: Text that one bucket of anchor hashes stands for.
-BUCKET_BYTES = 64 << 20
+#: Strings of one run; bytes of texts in one suffix array; groups that may have an anchor before its strings go alone.
+RUN, ARRAY_BYTES, SPLIT = 64, 1 << 20, 4096
+#: Text that one bucket of anchors stands for.
+BUCKET_BYTES = 8 << 20
 
 BASE = 0x9E3779B97F4A7C15
 
@@ -62,11 +63,6 @@ def gram_hashes(text: np.ndarray, n: int = GRAM) -> np.ndarray:
     return (acc ^ (acc >> np.uint64(32))) | np.uint64(1)
 
 
-def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which of x are in the sorted array."""
-    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), dtype=bool)
-
-
 def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
     size = 1
     while size * 2 <= width:
@@ -75,31 +71,6 @@ def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
 
 
-def anchors(text: np.ndarray, doc: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """The places and hashes of the least hash of each window of `length` bytes inside one document (all of them on a tie)."""
-    if len(text) < length:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    width = length - gram + 1
-    hashes = gram_hashes(text, gram)
-    least = _sliding(hashes, width, np.minimum)
-    least[doc[: len(least)] != doc[length - 1 : length - 1 + len(least)]] = 0
-    edge = np.zeros(width - 1, dtype=np.uint64)
-    at = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), width, np.maximum)[: len(hashes)] == hashes)
-    return at, hashes[at]
-
-
-def _joined(table: pa.Table, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of the rows' texts one after the other, the row of each byte, where each row begins."""
-    texts = [x.as_py() for x in table.column("text").take(pa.array(rows))]
-    lens = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    return np.frombuffer(b"".join(texts), dtype=np.uint8), np.repeat(np.arange(len(rows)), lens), np.cumsum(lens) - lens
-
-
-def _compared(docs: pa.Table, copies: set[int]) -> np.ndarray:
-    uid = docs.column("uid").to_pylist()
-    return np.array([i for i, (u, d) in enumerate(zip(uid, docs.column("doc_id").to_pylist())) if d is not None and u not in copies], dtype=np.int64)
-
-
 def _slabs(docs: pa.Table, rows: np.ndarray, most: int = 2 << 20) -> Iterator[np.ndarray]:
     """Runs of rows with about `most` bytes of text."""
     lens = np.array([len(x.as_py()) for x in docs.column("text").take(pa.array(rows))], dtype=np.int64) if len(rows) else rows
@@ -113,221 +84,265 @@ def _slabs(docs: pa.Table, rows: np.ndarray, most: int = 2 << 20) -> Iterator[np
         yield rows[start:]
 
 
-def _send_anchors(docs: pa.Table, side: pa.Table, length: int, buckets: int) -> pa.Table:
-    """Rows (bucket, g, once, more): the high halves of the hashes that one doc_id of the group has, and those that several have."""
-    rows = _compared(docs, set(side.column("uid").to_pylist()))
-    found, owners = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-    ids = np.array([-1 if d is None else d for d in docs.column("doc_id").to_pylist()], dtype=np.int64)
-    for slab in _slabs(docs, rows):
-        text, doc, _ = _joined(docs, slab)
-        at, hashes = anchors(text, doc, length)
-        found.append(hashes)
-        owners.append(ids[slab][doc[at]])
-    hashes, owners = np.concatenate(found), np.concatenate(owners)
-    order = np.lexsort((owners, hashes))
-    hashes, owners = hashes[order], owners[order]
-    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, dtype=np.int64)
-    last = np.concatenate([first[1:], [len(hashes)]]) - 1 if len(first) else first
-    more = owners[first] != owners[last]
-    hashes = hashes[first]
-    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bucket, high, more = bucket[order], (hashes[order] >> np.uint64(32)).astype("<u4"), more[order]
-    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, dtype=np.int64)
-    g = docs.column("g")[0].as_py() if docs.num_rows else None
-    cuts = [*starts.tolist(), len(bucket)]
-    parts = [(high[a:b], more[a:b]) for a, b in zip(cuts, cuts[1:])]
-    return pa.table({"bucket": pa.array(bucket[starts], pa.int64()), "g": pa.array([g] * len(starts), pa.int64()), "once": pa.array([h[~m].tobytes() for h, m in parts], pa.binary()), "more": pa.array([h[m].tobytes() for h, m in parts], pa.binary())})
-
-
-def _answer(sent: pa.Table) -> pa.Table:
-    """Rows (g, bucket, hot): the hashes of the group that several documents have."""
-    groups = sent.column("g").to_pylist()
-    once = [np.frombuffer(x, dtype="<u4") for x in sent.column("once").to_pylist()]
-    more = [np.frombuffer(x, dtype="<u4") for x in sent.column("more").to_pylist()]
-    every = np.sort(np.concatenate([*once, *more]))
-    hot = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *more]))
-    out = [np.concatenate([a[_among(a, hot)], b]) for a, b in zip(once, more)]
-    keep = [i for i, x in enumerate(out) if len(x)]
-    bucket = sent.column("bucket")[0].as_py() if sent.num_rows else None
-    return pa.table({"g": pa.array([groups[i] for i in keep], pa.int64()), "bucket": pa.array([bucket] * len(keep), pa.int64()), "hot": pa.array([out[i].tobytes() for i in keep], pa.binary()), "uid": pa.array([None] * len(keep), pa.int64())})
-
-
-PLACES = "k1 long, k2 long, uid long, doc_id long, at int, n int, anchor long"
-
-
-def _send_places(docs: pa.Table, side: pa.Table, length: int, buckets: int) -> pa.Table:
-    """Rows PLACES: where wanted anchors stand, each with a hash of its surroundings (n bytes from `at` on)."""
-    hot, copies = [np.zeros(0, dtype=np.uint64)], set()
-    for b, h, u in zip(side.column("bucket").to_pylist(), side.column("hot").to_pylist(), side.column("uid").to_pylist()):
-        if u is not None:
-            copies.add(u)
-        else:
-            hot.append((np.uint64(b) << np.uint64(32)) | np.frombuffer(h, dtype="<u4").astype(np.uint64))
-    wanted = np.unique(np.concatenate(hot))
-    none = np.zeros(0, dtype=np.int64)
-    keys: list[bytes] = []
-    columns: dict[str, list[np.ndarray]] = {c: [none] for c in ("uid", "doc_id", "at", "n", "anchor")}
-    row_uid = np.array(docs.column("uid").to_pylist(), dtype=np.int64)
-    row_id = np.array([-1 if d is None else d for d in docs.column("doc_id").to_pylist()], dtype=np.int64)
-    reach = length - GRAM
-    digest = xxhash.xxh3_128_digest
-    for slab in _slabs(docs, _compared(docs, copies)) if len(wanted) else ():
-        text, doc, begin = _joined(docs, slab)
-        at, hashes = anchors(text, doc, length)
-        keep = _among(((hashes % np.uint64(buckets)) << np.uint64(32)) | (hashes >> np.uint64(32)), wanted)
-        at, hashes = at[keep], hashes[keep]
-        raw = text.tobytes()
-        end = np.concatenate([begin[1:], [len(text)]])
-        owner = doc[at]
-        low, high = np.maximum(begin[owner], at - reach), np.minimum(end[owner], at + length)
-        keys += [digest(raw[a:b]) for a, b in zip(low.tolist(), high.tolist())]
-        for c, x in (("uid", row_uid[slab[owner]]), ("doc_id", row_id[slab[owner]]), ("at", low - begin[owner]), ("n", high - low), ("anchor", hashes.view(np.int64))):
-            columns[c].append(x)
-    key = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
-    kinds = {"at": pa.int32(), "n": pa.int32()}
-    return pa.table({"k1": pa.array(key[:, 0]), "k2": pa.array(key[:, 1]), **{c: pa.array(np.concatenate(x), kinds.get(c, pa.int64())) for c, x in columns.items()}})
-
-
-def _texts_of(docs: pa.Table, asked: pa.Table) -> pa.Table:
-    """Rows (anchor, k1, k2, text, low, high): the surroundings asked for by uid, at and n."""
-    row = {u: i for i, u in enumerate(docs.column("uid").to_pylist())}
-    column_of = docs.column("text")
-    cache: dict[int, bytes] = {}
-    texts = []
-    for u, at, n in zip(asked.column("uid").to_pylist(), asked.column("at").to_pylist(), asked.column("n").to_pylist()):
-        if u not in cache:
-            cache = {u: column_of[row[u]].as_py()} if len(cache) > 64 else {**cache, u: column_of[row[u]].as_py()}
-        texts.append(cache[u][at : at + n])
-    return pa.table({**{c: asked.column(c) for c in ("anchor", "k1", "k2")}, "text": pa.array(texts, pa.binary()), "low": asked.column("low"), "high": asked.column("high"), "n_texts": asked.column("n_texts")})
-
-
-def _ranges(k1: np.ndarray, k2: np.ndarray, which: np.ndarray, offset: np.ndarray, least: np.ndarray) -> pa.RecordBatch:
-    """Rows (k1, k2, from, to, least): runs of offsets of a string with the same least id."""
-    order = np.lexsort((offset, which))
-    which, offset, least = which[order], offset[order], least[order]
-    cut = np.concatenate([[True], (which[1:] != which[:-1]) | (offset[1:] != offset[:-1] + 1) | (least[1:] != least[:-1])]) if len(which) else np.zeros(0, dtype=bool)
-    a = np.flatnonzero(cut)
-    b = np.concatenate([a[1:], [len(which)]]) - 1 if len(a) else a
-    return pa.RecordBatch.from_arrays([pa.array(k1[which[a]]), pa.array(k2[which[a]]), pa.array(offset[a]), pa.array(offset[b]), pa.array(least[a])], names=["k1", "k2", "from", "to", "least"])
+def runs_of(text: np.ndarray, doc: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of strings of `length` bytes inside one document that have the same anchor: place of the first, number, anchor."""
+    if len(text) < length:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none.astype(np.uint64)
+    least = _sliding(gram_hashes(text, gram), length - gram + 1, np.minimum)
+    least[doc[: len(least)] != doc[length - 1 : length - 1 + len(least)]] = 0
+    start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    n = np.diff(np.concatenate([start, [len(least)]]))
+    start, n = start[least[start] != 0], n[least[start] != 0]
+    if len(n) and n.max() > RUN:  # a text that repeats itself
+        parts = -(-n // RUN)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        start, n = np.repeat(start, parts) + nth * RUN, np.minimum(RUN, np.repeat(n, parts) - nth * RUN)
+    return start, n, least[start]
 
 
-RANGES = "k1 long, k2 long, `from` long, `to` long, least long"
+def _packed(x: np.ndarray | bytes) -> bytes:
+    return zstandard.compress(x if isinstance(x, bytes) else x.tobytes(), 1)
 
 
-def _by_suffix_array(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor; whole anchors gather until a suffix array is large enough."""
+def _unpacked(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw), kind)
 
-    def solved(rows: list[tuple]) -> pa.RecordBatch:
-        distinct: dict[bytes, list[int]] = {}
-        for _, k1, k2, text, low, high in rows:
-            if x := distinct.get(text):
-                x[2], x[3] = min(x[2], low), max(x[3], high)
-            else:
-                distinct[text] = [k1, k2, low, high]
-        facts = np.array(list(distinct.values()), dtype=np.int64)
-        which, offset, least, _ = repeated(list(distinct), facts[:, 2], facts[:, 3], length)
-        return _ranges(facts[:, 0], facts[:, 1], which, offset, least)
-
-    held: list[tuple] = []
-    size, cut = 0, None
-    for batch in batches:
-        for row in zip(*(column(batch, c).to_pylist() for c in ("anchor", "k1", "k2", "text", "low", "high"))):
-            if size >= RUN_BYTES and row[0] != cut:
-                yield solved(held)
-                held, size = [], 0
-            cut = row[0]
-            held.append(row)
-            size += len(row[3])
-    if held:
-        yield solved(held)
-
-
-def _strings_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (w1, w2, k1, k2, offset, low, high): each string of `length` bytes by its hash."""
-    for batch in batches:
-        for k1, k2, text, low, high in zip(*(column(batch, c).to_pylist() for c in ("k1", "k2", "text", "low", "high"))):
-            n = len(text) - length + 1
-            key = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[i : i + length]) for i in range(n)), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()), pa.array(np.arange(n)), pa.array([low] * n, pa.int64()), pa.array([high] * n, pa.int64())], names=["w1", "w2", "k1", "k2", "from", "low", "high"])
-
-
-def _by_strings(texts: DataFrame, length: int) -> DataFrame:
-    """The same answers for anchors with more than HOT surroundings: each string of `length` bytes is aggregated by itself."""
-    strings = texts.mapInArrow(partial(_strings_of, length=length), "w1 long, w2 long, k1 long, k2 long, `from` long, low long, high long")
-    least = strings.groupBy("w1", "w2").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("w1", "w2", "least")
-    places = strings.select("w1", "w2", "k1", "k2", "from").distinct()
-    return places.join(least, ["w1", "w2"]).select("k1", "k2", "from", F.col("from").alias("to"), "least")
-
-
-def _removed(docs: pa.Table, spans: pa.Table, length: int, keep: bool) -> pa.Table:
+
+class _Group(NamedTuple):
+    """The runs of a group: slab, row, place in the row's text, number of strings and anchor of each; slabs as bytes with the place where each row begins."""
+
+    slabs: list[bytes]
+    slab: np.ndarray
+    row: np.ndarray
+    at: np.ndarray
+    begin: np.ndarray
+    n: np.ndarray
+    anchor: np.ndarray
+    ids: np.ndarray
+
+
+def _group(docs: pa.Table, length: int) -> _Group:
+    ids = docs.column("doc_id").to_pylist()
+    rows = np.array([i for i, d in enumerate(ids) if d is not None], dtype=np.int64)
+    slabs, columns = [], {c: [np.zeros(0, dtype=np.int64)] for c in ("slab", "row", "at", "begin", "n")}
+    anchors = [np.zeros(0, dtype=np.uint64)]
+    for slab in _slabs(docs, rows):
+        texts = docs.column("text").take(pa.array(slab)).to_pylist()
+        lens = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        begin = np.cumsum(lens) - lens
+        raw = b"".join(texts)
+        doc = np.repeat(np.arange(len(slab)), lens)
+        start, n, anchor = runs_of(np.frombuffer(raw, dtype=np.uint8), doc, length)
+        own = doc[start]
+        for c, x in (("slab", np.full(len(start), len(slabs))), ("row", slab[own]), ("at", start - begin[own]), ("begin", begin[own]), ("n", n)):
+            columns[c].append(x)
+        anchors.append(anchor)
+        slabs.append(raw)
+    found = {c: np.concatenate(x) for c, x in columns.items()}
+    return _Group(slabs, **found, anchor=np.concatenate(anchors), ids=np.array([-1 if d is None else d for d in ids], dtype=np.int64))
+
+
+def _cuts(sorted_values: np.ndarray) -> list[tuple[int, int]]:
+    """Where each value begins and ends."""
+    if not len(sorted_values):
+        return []
+    edges = np.concatenate([[0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [len(sorted_values)]]).tolist()
+    return list(zip(edges, edges[1:]))
+
+
+def _distinct(group: _Group, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct anchors, the bucket of each, their order by bucket, and of each run which it has."""
+    anchors, which = np.unique(group.anchor, return_inverse=True)
+    bucket = ((anchors >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)  # anchors are odd
+    return anchors, bucket, np.argsort(bucket, kind="stable"), which
+
+
+def _send_anchors(docs: pa.Table, length: int, buckets: int) -> pa.Table:
+    """Rows (bucket, g, anchors, several): the high halves of the group's anchors, and whether several ids of the group have each."""
+    group = _group(docs, length)
+    anchors, bucket, order, which = _distinct(group, buckets)
+    ids = group.ids[group.row]
+    low, high = np.full(len(anchors), np.iinfo(np.int64).max), np.full(len(anchors), np.iinfo(np.int64).min)
+    np.minimum.at(low, which, ids)
+    np.maximum.at(high, which, ids)
+    several, halves = (low < high)[order], (anchors >> np.uint64(32)).astype("<u4")[order]
+    parts = _cuts(bucket[order])
+    g = docs.column("g")[0].as_py() if docs.num_rows else None
+    return pa.table({"bucket": pa.array([int(bucket[order[a]]) for a, _ in parts], pa.int64()), "g": pa.array([g] * len(parts), pa.int64()), "anchors": pa.array([halves[a:b].tobytes() for a, b in parts], pa.binary()), "several": pa.array([_packed(np.packbits(several[a:b])) for a, b in parts], pa.binary())})
+
+
+def _answer_anchors(sent: pa.Table, split: int) -> pa.Table:
+    """Rows (g, bucket, status): for each anchor of a group in the order sent 0 (one document has it), 1 (several have) or 2 (over `split` groups have)."""
+    halves = [np.frombuffer(x, "<u4") for x in sent.column("anchors").to_pylist()]
+    several = [np.unpackbits(_unpacked(x, "u1"), count=len(h)) for x, h in zip(sent.column("several").to_pylist(), halves)]
+    values, which, n = np.unique(np.concatenate(halves), return_inverse=True, return_counts=True)
+    hot = n > 1
+    hot[which[np.concatenate(several) > 0]] = True
+    status = (hot.astype(np.uint8) + (hot & (n > split)))[which]
+    ends = np.cumsum([0, *map(len, halves)]).tolist()
+    return pa.table({"g": sent.column("g"), "bucket": sent.column("bucket"), "status": pa.array([_packed(status[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())})
+
+
+def _texts(docs: pa.Table, side: pa.Table, length: int, buckets: int) -> tuple[_Group, list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct texts to compare by bucket and key, with both, and the text, row and place of each occurrence."""
+    group = _group(docs, length)
+    anchors, bucket, order, which = _distinct(group, buckets)
+    status = np.zeros(len(anchors), dtype=np.uint8)
+    answers = {b: x for b, x in zip(side.column("bucket").to_pylist(), side.column("status").to_pylist()) if x is not None}
+    for a, b in _cuts(bucket[order]):
+        status[order[a:b]] = _unpacked(answers[int(bucket[order[a]])], "u1")
+    index: dict[bytes, int] = {}
+    of, rows, places, hashes = ([np.zeros(0, dtype=np.int64)] for _ in range(4))
+    kind, from_slab = status[which], group.begin + group.at
+    for k, raw in enumerate(group.slabs):
+        own = np.flatnonzero((group.slab == k) & (kind == 1))
+        ends = (from_slab[own] + group.n[own] + length - 1).tolist()
+        of.append(np.array([index.setdefault(raw[a:b], len(index)) for a, b in zip(from_slab[own].tolist(), ends)], dtype=np.int64))
+        hashes.append(group.anchor[own].view(np.int64))
+        own_rows, own_places = [group.row[own]], [group.at[own]]
+        alone = np.flatnonzero((group.slab == k) & (kind == 2))
+        if len(alone):
+            n = group.n[alone]
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            strings = [raw[a : a + length] for a in (np.repeat(from_slab[alone], n) + nth).tolist()]
+            of.append(np.array([index.setdefault(t, len(index)) for t in strings], dtype=np.int64))
+            hashes.append(np.array(list(map(xxhash.xxh64_intdigest, strings)), dtype=np.uint64).view(np.int64))
+            own_rows.append(np.repeat(group.row[alone], n))
+            own_places.append(np.repeat(group.at[alone], n) + nth)
+        rows += own_rows
+        places += own_places
+    of = np.concatenate(of)
+    found = np.zeros(len(index), dtype=np.uint64)
+    found[of] = np.concatenate(hashes).view(np.uint64)
+    bucket, key = ((found >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64), (found >> np.uint64(32)).astype("<u4")
+    order = np.lexsort((key, bucket))
+    texts = list(index)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return group, [texts[i] for i in order.tolist()], bucket[order], key[order], place[of], np.concatenate(rows), np.concatenate(places)
+
+
+TEXTS = "bucket long, g long, keys binary, lens binary, texts binary, low binary, more binary"
+
+
+def _send_texts(docs: pa.Table, side: pa.Table, length: int, buckets: int) -> pa.Table:
+    """Rows TEXTS: the distinct texts of the group by bucket, sorted by key, the least id of each and the greatest less that."""
+    group, texts, bucket, key, of, rows, _ = _texts(docs, side, length, buckets)
+    ids = group.ids[rows]
+    low, high = np.full(len(texts), np.iinfo(np.int64).max), np.full(len(texts), np.iinfo(np.int64).min)
+    np.minimum.at(low, of, ids)
+    np.maximum.at(high, of, ids)
+    parts = _cuts(bucket)
+    g = docs.column("g")[0].as_py() if docs.num_rows else None
+    lens = np.fromiter(map(len, texts), dtype="<u2", count=len(texts))
+    packed = {n: pa.array([_packed(x[a:b]) for a, b in parts], pa.binary()) for n, x in (("keys", key), ("lens", lens), ("low", low), ("more", (high - low).astype("<u8")))}
+    whole = pa.array([_packed(b"".join(texts[a:b])) for a, b in parts], pa.binary())
+    return pa.table({"bucket": pa.array([int(bucket[a]) for a, _ in parts], pa.int64()), "g": pa.array([g] * len(parts), pa.int64()), "keys": packed["keys"], "lens": packed["lens"], "texts": whole, "low": packed["low"], "more": packed["more"]})
+
+
+def _ranges(which: np.ndarray, offset: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(string, from, to, least): runs of offsets of a string with the same least id, sorted."""
+    order = np.lexsort((offset, which))
+    which, offset, least = which[order], offset[order], least[order]
+    if not len(which):
+        return which, offset, offset, least
+    a = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (offset[1:] != offset[:-1] + 1) | (least[1:] != least[:-1])]))
+    b = np.concatenate([a[1:], [len(which)]]) - 1
+    return which[a], offset[a], offset[b], least[a]
+
+
+RANGES = "g long, bucket long, counts binary, `from` binary, `to` binary, least binary"
+
+
+def _answer_texts(sent: pa.Table, length: int) -> pa.Table:
+    """Rows RANGES: for each text in the order sent the number of its ranges of offsets, and these with their least id."""
+    index: dict[bytes, int] = {}
+    own, keys, lows, mores = [], [], [], []
+    for raw, lens, key, low, more in zip(*(sent.column(c).to_pylist() for c in ("texts", "lens", "keys", "low", "more"))):
+        whole, ends = zstandard.decompress(raw), np.cumsum(_unpacked(lens, "<u2"), dtype=np.int64).tolist()
+        own.append(np.array([index.setdefault(whole[a:b], len(index)) for a, b in zip([0, *ends], ends)], dtype=np.int64))
+        keys.append(_unpacked(key, "<u4"))
+        lows.append(_unpacked(low, "<i8"))
+        mores.append(_unpacked(more, "<u8"))
+    every = np.concatenate(own)
+    low, high = np.full(len(index), np.iinfo(np.int64).max), np.full(len(index), np.iinfo(np.int64).min)
+    np.minimum.at(low, every, np.concatenate(lows))
+    np.maximum.at(high, every, np.concatenate(lows) + np.concatenate(mores).astype(np.int64))
+    key = np.zeros(len(index), dtype=np.int64)
+    key[every] = np.concatenate(keys)
+    texts = list(index)
+    order = np.argsort(key, kind="stable")
+    size = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))[order])
+    ends = [b for _, b in _cuts(key[order])]  # whole anchors only
+    found, start = [], 0
+    for a, b in zip(ends, [*ends[1:], None]):
+        if b is None or size[b - 1] - (size[start - 1] if start else 0) > ARRAY_BYTES:
+            part = order[start:a]
+            which, offset, least, _ = repeated([texts[i] for i in part.tolist()], low[part], high[part], length)
+            found.append((part[which], offset, least))
+            start = a
+    of, first, last, least = _ranges(*(np.concatenate(x) for x in zip(*found)))
+    counts = np.bincount(of, minlength=len(texts))
+    begin = np.cumsum(counts) - counts
+    out: dict[str, list] = {"counts": [], "from": [], "to": [], "least": []}
+    for x in own:
+        n = counts[x]
+        at = np.repeat(begin[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        for c, values in (("counts", n.astype("<u2")), ("from", first[at].astype("<u2")), ("to", last[at].astype("<u2")), ("least", least[at].astype("<i8"))):
+            out[c].append(_packed(values))
+    return pa.table({"g": sent.column("g"), "bucket": sent.column("bucket"), **{c: pa.array(x, pa.binary()) for c, x in out.items()}})
+
+
+def _removed(docs: pa.Table, side: pa.Table, length: int, buckets: int, keep: bool) -> pa.Table:
     """Rows (doc_id, n_bytes, spans, kept or its SHA-256): what stays of each document."""
-    by: dict[int, list[tuple[int, int]]] = {}
-    for u, a, b in zip(spans.column("uid").to_pylist(), spans.column("from").to_pylist(), spans.column("to").to_pylist()):
-        by.setdefault(u, []).append((a, b))
-    sizes, runs, kept = [], [], []
-    for u, text in zip(docs.column("uid").to_pylist(), docs.column("text")):
-        raw = text.as_py()
-        own: list[list[int]] = []
-        for a, b in sorted(by.get(u, ())):
-            b = min(b, len(raw))
-            if b - a < length:
-                continue
-            if own and a <= own[-1][1]:
-                own[-1][1] = max(own[-1][1], b)
-            else:
-                own.append([a, b])
-        ends = [0, *(x for r in own for x in r), len(raw)]
+    group, texts, bucket, _, of, rows, places = _texts(docs, side, length, buckets)
+    answers = {b: x for b, *x in zip(*(side.column(c).to_pylist() for c in ("bucket", "counts", "from", "to", "least"))) if x[0] is not None}
+    parts = [[_unpacked(x, k).astype(np.int64) for x, k in zip(answers[int(bucket[a])], ("<u2", "<u2", "<u2", "<i8"))] for a, _ in _cuts(bucket)]
+    counts, first, last, least = (np.concatenate([p[i] for p in parts] or [np.zeros(0, dtype=np.int64)]) for i in range(4))
+    begin = np.cumsum(counts) - counts
+    n = counts[of]
+    at = np.repeat(begin[of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    row, place = np.repeat(rows, n), np.repeat(places, n)
+    goes = least[at] < group.ids[row]
+    row, start, end = row[goes], (place + first[at])[goes], (place + last[at])[goes] + length
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], end[order]
+    spans: dict[int, list[dict]] = {}
+    for a, b in _cuts(row):
+        reach = np.maximum.accumulate(end[a:b])
+        new = np.flatnonzero(np.concatenate([[True], start[a + 1 : b] > reach[:-1]]))
+        spans[int(row[a])] = [{"from": f, "to": t} for f, t in zip(start[a:b][new].tolist(), reach[np.concatenate([new[1:], [b - a]]) - 1].tolist())]
+    sizes, removed, kept = [], [], []
+    for i, text in enumerate(docs.column("text")):
+        raw, own = text.as_py(), spans.get(i, [])
+        ends = [0, *(x for r in own for x in (r["from"], r["to"])), len(raw)]
         rest = b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2]))
         sizes.append(len(raw))
-        runs.append([{"from": a, "to": b} for a, b in own])
+        removed.append(own)
         kept.append(rest if keep else hashlib.sha256(rest).hexdigest())
     kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-    return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "spans": pa.array(runs, kind), "kept": pa.array(kept, pa.binary() if keep else pa.string())})
+    return pa.table({"doc_id": docs.column("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "spans": pa.array(removed, kind), "kept": pa.array(kept, pa.binary() if keep else pa.string())})
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) -> DataFrame:
     """Rows (doc_id, n_bytes, spans, kept): removed runs of bytes (from, to), and the rest as binary (its SHA-256 in hex if not keep)."""
-    if length < 2 * GRAM:
-        raise ValueError(f"length is at least {2 * GRAM}")
+    if not 2 * GRAM <= length < (1 << 16) - RUN:
+        raise ValueError(f"length is from {2 * GRAM} to {(1 << 16) - RUN - 1}")
     docs = grouped_documents(docs, "suffix")
-    hashed = docs.select("g", "uid", "doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).where(F.col("doc_id").isNotNull())
-    hashed = written(hashed, "hashes")
-    first = hashed.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    copies = written(hashed.where(F.col("n") >= length).join(first, ["h1", "h2", "n"]).where("doc_id > least").select("g", "uid", F.col("n").cast("long").alias("n")), "copies")
-    total = hashed.agg(F.sum("n")).first()[0] or 0
-    buckets = max(64, -(-total // BUCKET_BYTES))
+    buckets = max(16, -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET_BYTES))
+    split = SPLIT
 
     def with_docs(side: DataFrame, f, schema: str) -> DataFrame:
         return docs.groupBy("g").cogroup(side.groupBy("g")).applyInArrow(f, schema)
 
-    def step(df: DataFrame, name: str) -> DataFrame:
-        out = written(df, name)
-        docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove shuffle files that nothing reads again
-        return out
-
-    sent = with_docs(copies.select("g", "uid"), lambda d, s: _send_anchors(d, s, length, buckets), "bucket long, g long, once binary, more binary")
-    answers = sent.groupBy("bucket").applyInArrow(_answer, "g long, bucket long, hot binary, uid long")
-    side = step(answers.union(copies.select("g", F.lit(None).cast("long"), F.lit(None).cast("binary"), "uid")), "answers")
-    places = step(with_docs(side, lambda d, s: _send_places(d, s, length, buckets), PLACES), "places")
-    # each distinct text of an anchor with the least and greatest id that has it, and one place where it can be read
-    by_text = places.groupBy("anchor", "k1", "k2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("uid", "at", "n")).alias("rep"))
-    by_text = step(by_text, "surroundings")
-    by_anchor = by_text.groupBy("anchor").agg(F.count("*").alias("n_texts"), F.min("low").alias("least"), F.max("high").alias("most"), F.min(F.struct("k1", "k2", "rep.n")).alias("one")).where("least < most")
-    by_anchor = step(by_anchor, "anchors")
-    # an anchor with one text only: all its places have the same bytes
-    sole = by_anchor.where("n_texts = 1").select("one.k1", "one.k2", F.lit(0).cast("long").alias("from"), (F.col("one.n") - length).cast("long").alias("to"), "least")
-    asked = by_text.join(by_anchor.where("n_texts > 1").select("anchor", "n_texts"), "anchor").select("anchor", "k1", "k2", "low", "high", "n_texts", "rep.uid", "rep.at", "rep.n", group_of("rep.uid").alias("g"))
-    texts = step(with_docs(asked, _texts_of, "anchor long, k1 long, k2 long, text binary, low long, high long, n_texts long"), "texts")
-    arrays = texts.where(F.col("n_texts") <= HOT).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(partial(_by_suffix_array, length=length), RANGES)
-    least = sole.union(arrays)
-    if not texts.where(F.col("n_texts") > HOT).isEmpty():
-        least = least.union(_by_strings(texts.where(F.col("n_texts") > HOT), length))
-    least = step(least, "ranges")
-    hits = places.select("k1", "k2", "uid", "doc_id", "at").join(least, ["k1", "k2"]).where("least < doc_id")
-    spans = hits.select(group_of("uid").alias("g"), "uid", (F.col("at") + F.col("from")).alias("from"), (F.col("at") + F.col("to") + length).alias("to"))
-    spans = spans.union(copies.select("g", "uid", F.lit(0).cast("long"), "n"))
-    return with_docs(spans, lambda d, s: _removed(d, s, length, keep), f"doc_id long, n_bytes long, spans array<struct<from: long, to: long>>, kept {'binary' if keep else 'string'}")
+    sent = docs.groupBy("g").applyInArrow(lambda d: _send_anchors(d, length, buckets), "bucket long, g long, anchors binary, several binary")
+    status = written(sent.groupBy("bucket").applyInArrow(lambda s: _answer_anchors(s, split), "g long, bucket long, status binary"), "status")
+    texts = with_docs(status, lambda d, s: _send_texts(d, s, length, buckets), TEXTS)
+    ranges = written(texts.groupBy("bucket").applyInArrow(lambda s: _answer_texts(s, length), RANGES), "ranges")
+    none = [F.lit(None).cast("binary").alias(c) for c in ("counts", "from", "to", "least")]
+    side = status.select("g", "bucket", "status", *none).union(ranges.select("g", "bucket", F.lit(None).cast("binary"), "counts", "from", "to", "least"))
+    return with_docs(side, lambda d, s: _removed(d, s, length, buckets, keep), f"doc_id long, n_bytes long, spans array<struct<from: long, to: long>>, kept {'binary' if keep else 'string'}")
 
 
 def digest(found: DataFrame) -> DataFrame:
