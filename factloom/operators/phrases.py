@@ -6,18 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Tokens of a text that one row carries.
+CHUNK = 64
+
+
 def find_phrases(texts: DataFrame, phrases: DataFrame, key: str, text: str = "text_norm", phrase: str = "phrase") -> DataFrame:
-    """key, phrase, start, end (characters from 0) of every occurrence; overlapping ones too.
+    """key, phrase, start, end (characters from 0) of every occurrence; overlapping ones too. Tokens are what single spaces part.
 
-    Each token is joined with the phrases that begin with it; only then is the rest compared, so no n-grams are made of texts.
+    A text is cut in chunks of CHUNK tokens, each with its place in the text and as many tokens more as the longest phrase has. Each token of a chunk is joined with the
+    phrases that begin with it, and only then the rest is compared. So rows are of bounded size, and the work grows with the text, not with its square.
     """
-    places = texts.select(key, F.col(text).alias("factloom_text"), F.posexplode(F.split(text, " ")).alias("factloom_i", "factloom_token"))
-    before = F.expr("if(factloom_i = 0, 0, length(substring_index(factloom_text, ' ', factloom_i)) + 1)")
-    vocabulary = phrases.select(F.col(phrase).alias("phrase")).where("phrase <> ''").distinct().withColumn("factloom_token", F.split("phrase", " ")[0])
-    hits = places.join(vocabulary, "factloom_token").withColumn("start", before)
-    same = F.substring("factloom_text", F.col("start") + 1, F.length("phrase")) == F.col("phrase")
-    follows = F.substring("factloom_text", F.col("start") + F.length("phrase") + 1, F.lit(1))
-    return hits.where(same & follows.isin("", " ")).select(key, "phrase", F.col("start").cast("int").alias("start"), (F.col("start") + F.length("phrase")).cast("int").alias("end"))
+    vocabulary = phrases.select(F.col(phrase).alias("phrase")).where("phrase <> ''").distinct()
+    vocabulary = vocabulary.withColumn("factloom_own", F.split("phrase", " ")).withColumn("factloom_n", F.size("factloom_own")).withColumn("factloom_token", F.col("factloom_own")[0])
+    longest = vocabulary.agg(F.max("factloom_n")).first()[0] or 1
+    tokens = texts.select(key, F.split(text, " ").alias("t"))
+    starts = F.sequence(F.lit(0), F.size("t") - 1, F.lit(CHUNK))
+    chunks = tokens.select(key, F.transform(starts, lambda i: F.struct(F.slice("t", i + 1, CHUNK + longest - 1).alias("tokens"), F.length(F.array_join(F.slice("t", i + 1, F.lit(CHUNK)), " ")).alias("n"))).alias("c"))
+    # where each chunk begins: the lengths of those before it and a space after each
+    based = chunks.select(key, F.posexplode(F.transform("c", lambda x, i: F.struct(x["tokens"].alias("tokens"), F.aggregate(F.slice("c", F.lit(1), i), F.lit(0), lambda total, y: total + y["n"] + 1).alias("base")))).alias("k", "x"))
+    each = based.select(key, "x.base", "x.tokens", F.posexplode(F.slice("x.tokens", 1, CHUNK)).alias("j", "factloom_token"))
+    hits = each.join(vocabulary, "factloom_token").where(F.slice("tokens", F.col("j") + 1, F.col("factloom_n")) == F.col("factloom_own"))
+    start = F.col("base") + F.when(F.col("j") > 0, F.length(F.array_join(F.slice("tokens", F.lit(1), F.col("j")), " ")) + 1).otherwise(0)
+    return hits.select(key, "phrase", start.cast("int").alias("start"), (start + F.length("phrase")).cast("int").alias("end"))
 
 
 def longest_spans(spans: DataFrame, key: str) -> DataFrame:
@@ -37,10 +47,13 @@ def best_phrase(spans: DataFrame, key: str) -> DataFrame:
 
 
 def bounded_substrings(texts: DataFrame, phrases: DataFrame, key: str, text: str, phrase: str = "phrase") -> DataFrame:
-    """key, phrase for phrases that stand in the text between characters that are no letters or digits; punctuation counts as written."""
+    """key, phrase for phrases that stand in the text between characters that are no letters or digits; punctuation counts as written.
+
+    Phrases with a letter or digit meet the texts that have their first word; the others, which have none to meet by, are few and are looked for in every text.
+    """
     quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.col("phrase"), F.lit(r"\E(?![\p{L}\p{N}])"))
     vocabulary = phrases.select(F.col(phrase).alias("phrase")).where("phrase <> ''").distinct()
-    first = F.regexp_extract("phrase", r"[\p{L}\p{N}]+", 0)
-    words = texts.select(key, F.col(text).alias("factloom_text"), F.explode(F.array_distinct(F.split(text, r"[^\p{L}\p{N}]+"))).alias("factloom_word"))
-    pairs = words.join(vocabulary.withColumn("factloom_word", first), "factloom_word")
-    return pairs.where(F.regexp_like("factloom_text", quoted)).select(key, "phrase").distinct()
+    vocabulary = vocabulary.withColumn("factloom_word", F.regexp_extract("phrase", r"[\p{L}\p{N}]+", 0))
+    # the empty word stands for phrases without any
+    words = texts.select(key, F.col(text).alias("factloom_text"), F.explode(F.array_distinct(F.concat(F.split(text, r"[^\p{L}\p{N}]+"), F.array(F.lit(""))))).alias("factloom_word"))
+    return words.join(vocabulary, "factloom_word").where(F.regexp_like("factloom_text", quoted)).select(key, "phrase").distinct()
