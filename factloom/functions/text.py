@@ -10,23 +10,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The words and patterns that the audit, the search and the source tiers are defined by.
-LEGAL_SUFFIXES = "co company corp corporation inc incorporated limited llc llp ltd plc private pvt".split()
-HEALTHCARE_DESCRIPTORS = "advanced care center centre clinic college dental general health healthcare hospital hospitals institute medical multispeciality multispecialty research speciality specialty super".split()
+LEGAL_SUFFIXES = ["co", "company", "corp", "corporation", "inc", "incorporated", "limited", "llc", "llp", "ltd", "plc", "private", "pvt"]
+HEALTHCARE_DESCRIPTORS = [
+    "advanced", "care", "center", "centre", "clinic", "college", "dental", "general", "health", "healthcare", "hospital", "hospitals", "institute", "medical",
+    "multispeciality", "multispecialty", "research", "speciality", "specialty", "super",
+]
 GENERIC_ORG_PHRASES = [
     "care hospital", "city hospital", "dental clinic", "general hospital", "hospital", "india hospital", "medical center", "medical centre",
     "medical college", "medical college hospital", "multispeciality hospital", "multispecialty hospital",
 ]
 LOCATION_END = r"(?:\b(?:based|located|situated|headquartered)\s+(?:at|in|near)|\b(?:hospital|clinic|centre|center|facility)\s+(?:at|in|near)|\b(?:services?|testing|treatment)\s+(?:at|in|near)|\b(?:operates?|established)\s+in)\s*$"
-OWNERSHIP_VERBS = "has have provides provide offers offer installed operates is runs features".split()
+OWNERSHIP_VERBS = ["has", "have", "provides", "provide", "offers", "offer", "installed", "operates", "is", "runs", "features"]
 CONTEXTUAL_CUES = r"\b(?:affiliated|association|directory|empanelled|network|listed|trained|training|worked|consultant|credential|graduate|degree|study|studied|insurance)\b"
 BRANCH_CUES = r"\b(?:branch|branches|locations|clinics|network)\b"
 NEGATION_BEFORE = r"\b(?:no|not|without|lacks?|lacking|unavailable|does not|do not|doesn't|don't|cannot|can't|never)\b"
 THIRD_PARTY_BEFORE = r"\b(?:underwent|referred to|referral to|nearby|nearest|external|outsourced to|tie[- ]?up with|affiliated with)\b"
-NEED_STOPWORDS = "a an and around at care find for hospital hospitals i in looking me my near need needs please service services somewhere the want".split()
+NEED_STOPWORDS = [
+    "a", "an", "and", "around", "at", "care", "find", "for", "hospital", "hospitals", "i", "in", "looking", "me", "my", "near", "need", "needs", "please", "service", "services",
+    "somewhere", "the", "want",
+]
 GOVERNMENT_DOMAINS = [".gov.in", ".nic.in", "pmjay.gov.in", "nabh.co", "mohfw.gov.in"]
 WEAK_DIRECTORY_DOMAINS = ["facebook.com", "instagram.com", "justdial.com", "practo.com", "sulekha.com", "youtube.com"]
 INSTITUTIONAL_ENDINGS = [".edu", ".ac.in", ".org"]
-VERDICT_LABELS = {"corroborated": "■ Corroborated", "claimed_only": "□ Claimed only", "insufficient_evidence": "– Insufficient evidence"}
+VERDICT_SIGNS = {"corroborated": "■", "claimed_only": "□", "insufficient_evidence": "–"}
+VERDICT_NAMES = {"corroborated": "Corroborated", "claimed_only": "Claimed only", "insufficient_evidence": "Insufficient evidence"}
 
 
 def normalize_text(value: object) -> str:
@@ -145,10 +152,27 @@ def source_tier(url: Column, official: Column) -> Column:
     )
 
 
+def json_items(c: Column) -> Column:
+    """All items of a JSON array in text, as variants; null where the text is no JSON array."""
+    return F.try_variant_get(F.when(c.rlike(r"(?s)^\s*\[.*\]\s*$"), F.try_parse_json(c)), "$", "array<variant>")
+
+
+def _variant_text(v: Column) -> Column:
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).when(F.schema_of_variant(v) != "VOID", F.to_json(v))
+
+
+def item_texts(c: Column) -> Column:
+    """All items of a JSON array in text, whatever their kind, as text; JSON nulls stay nulls; null where the text is no JSON array."""
+    return F.transform(json_items(c), _variant_text)
+
+
 def url_list(c: Column) -> Column:
-    """The URLs of a JSON array in text, or the one URL that the text is."""
-    one = F.when(c.rlike("^https?://"), F.array(c)).otherwise(F.expr("cast(array() as array<string>)"))
-    return F.when(c.rlike(r"(?s)^\s*\["), json_strings(c, stripped=False)).otherwise(F.coalesce(one, F.expr("cast(array() as array<string>)")))
+    """The items of a JSON array in text that say something, as text (numbers, and true as True; not 0, false, null and what is empty), or the one URL that the text is."""
+    none = F.expr("cast(array() as array<string>)")
+    said = F.transform(json_items(c), lambda v: F.when(F.schema_of_variant(v) == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), "True")).otherwise(_variant_text(v)))
+    told = F.filter(said, lambda x: x.isNotNull() & ~x.isin("", "[]", "{}") & ~x.rlike(r"^-?0+(?:\.0*)?$"))
+    one = F.when(F.try_parse_json(c).isNull() & c.rlike("^https?://"), F.array(c)).otherwise(none)
+    return F.coalesce(told, one, none)
 
 
 def search_query(name: Column, city: Column, state: Column, capability: Column) -> Column:
@@ -168,11 +192,13 @@ def first_json(c: Column) -> Column:
 
 
 def display_name(c: Column) -> Column:
-    return F.initcap(F.regexp_replace(c, "_", " "))
+    """The words of an id, each run of letters with a capital first and small letters after it ("x-ray_unit": "X-Ray Unit")."""
+    runs = F.regexp_extract_all(F.lower(F.regexp_replace(c, "_", " ")), F.lit(r"(\p{L}+|\P{L}+)"))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.substring(r, F.lit(2), F.length(r)))), "")
 
 
 def verdict_label(c: Column) -> Column:
-    pairs = [F.lit(x) for kv in VERDICT_LABELS.items() for x in kv]
+    pairs = [F.lit(x) for v, sign in VERDICT_SIGNS.items() for x in (v, f"{sign} {VERDICT_NAMES[v]}")]
     return F.coalesce(F.create_map(*pairs)[c], F.concat(F.lit("? "), c))
 
 
@@ -182,3 +208,8 @@ def valid_alias(c: Column) -> Column:
 
 def source_bucket(n: Column) -> Column:
     return F.when(n <= 1, "1").when(n <= 4, "2-4").otherwise("5+")
+
+
+def drawn_by(seed: int, *columns: str) -> Column:
+    """The order in which a seeded sample draws rows: MD5 of the seed and the columns as text."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))

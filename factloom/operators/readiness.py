@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions import geo
+
 COMPLETENESS_FLOOR = 5
 # Claims that need another tracer beside them.
 CONTRADICTIONS = [
@@ -24,10 +26,10 @@ def readiness(mapped: DataFrame, facilities: DataFrame, totals: DataFrame, bulle
     capabilities = totals.select("capability_id").distinct()
     grid = facilities.select("facility_id").distinct().crossJoin(F.broadcast(capabilities))  # densification: every pair has a row
     scored = grid.join(F.broadcast(totals), "capability_id").join(per_domain, [*keys, "domain"], "left")
-    score = F.bround(F.coalesce("n", F.lit(0)) / F.col("n_tracers"), 4)
+    score = geo.rounded(F.coalesce("n", F.lit(0)) / F.col("n_tracers"), 4)
     scores = scored.groupBy(*keys).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("domain", score.alias("score"))))).alias("domain_scores"),
-        F.bround(F.avg(score), 4).alias("readiness_score"),
+        geo.rounded(F.avg(score), 4).alias("readiness_score"),
     )
     ids = lambda c, when=None: F.array_sort(F.collect_set(F.when(when, F.col(c)) if when is not None else F.col(c)))
     groups = mapped.groupBy(*keys).agg(
@@ -63,10 +65,9 @@ def contradiction_applicable(mapped: DataFrame, contradictions: list[dict] | Non
 
 def shares(df: DataFrame, column: str) -> DataFrame:
     """Values of a column, nulls too, with their number and percentage (0 for no rows)."""
-    from pyspark.sql import Window
-
     n = df.groupBy(column).agg(F.count("*").alias("n"))
-    return n.withColumn("pct", F.coalesce(F.bround(100 * F.try_divide("n", F.sum("n").over(Window.partitionBy())), 2), F.lit(0.0)))
+    total = n.agg(F.sum("n").alias("factloom_total"))  # one row
+    return n.crossJoin(F.broadcast(total)).select(column, "n", F.coalesce(geo.rounded(100 * F.try_divide("n", "factloom_total"), 2), F.lit(0.0)).alias("pct"))
 
 
 def quantiles(df: DataFrame, column: str, at: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9, 0.95)) -> DataFrame:

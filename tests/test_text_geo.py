@@ -72,3 +72,33 @@ def test_distances_and_scores(spark):
     assert (e, p) == (0.75, 0.25)
     assert row.select(geo.composite(F.lit(e), F.lit(p), F.col("t"))).first()[0] == pytest.approx((0.6 * 0.75 + 0.4 * 0.25) * 0.2)
     assert spark.sql("select 'nan' as x").select(geo.number(F.col("x"))).first()[0] is None
+
+
+def test_rounding_is_that_of_the_binary_value(spark):
+    import random
+
+    rng = random.Random(2)
+    values = [2.675, 0.41665, 0.5, 1.5, 2.5, -2.675, 0.0, 1e-9, 0.125, 0.375, 1e17, 0.045, 1.005, None] + [round(rng.uniform(-100, 100), rng.randrange(6)) for _ in range(3000)] + [rng.randrange(2000) / 1000 + 0.0005 for _ in range(2000)] + [rng.random() for _ in range(500)]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    for digits in (1, 2, 3, 4):
+        got = [r[0] for r in df.select(geo.rounded(F.col("x"), digits)).collect()]
+        assert all(a == b for a, b in zip(got, [None if x is None else round(x, digits) for x in values]))
+
+
+@pytest.mark.parametrize("raw, want", [('["a", 3, 0, null, "", true, false, 1.5, []]', ["a", "3", "True", "1.5"]), ("https://x.org", ["https://x.org"]), ("ftp://x", []), ("", []), (None, []), ('{"a": 1}', []), ("[]", [])])
+def test_url_list(spark, raw, want):
+    df = spark.createDataFrame([(raw,)], "t string")
+    assert df.select(text.url_list(F.col("t"))).first()[0] == want
+
+
+@pytest.mark.parametrize("raw", ["blood_bank", "x-ray_unit", "ICU", "o2 plant", "été_noir", "", "a'b"])
+def test_display_name_is_title_case(spark, raw):
+    df = spark.createDataFrame([(raw,)], "t string")
+    assert df.select(text.display_name(F.col("t"))).first()[0] == raw.replace("_", " ").title()
+
+
+def test_item_texts_and_search_queries(spark):
+    df = spark.createDataFrame([('["a", 1, null, {"b": 2}]', "N", None, "nan", "blood_bank")], "t string, n string, c string, s string, k string")
+    assert df.select(text.item_texts(F.col("t"))).first()[0] == ["a", "1", None, '{"b":2}']
+    assert df.select(text.search_query(F.col("n"), F.col("c"), F.col("s"), F.col("k"))).first()[0] == '"N" blood bank official'
+    assert df.select(text.user_name(F.lit("  a \t b  ")), text.user_name(F.lit("  "))).first()[:] == ("a b", None)
