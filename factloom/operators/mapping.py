@@ -57,7 +57,7 @@ def _hit(t: Column, rule: dict) -> Column:
     """struct(ord, quote) where the rule's first hit stands unblocked, else null."""
     pattern = FLAGS + f"(?:{rule['pattern']})"
     quote = F.regexp_extract(t, pattern, 0)
-    prefix = F.regexp_extract(t, FLAGS + f"^((?s:.*?))(?:{rule['pattern']})", 1)
+    prefix = F.left(t, F.regexp_instr(t, F.lit(pattern)) - 1)
     ok = F.regexp_like(t, F.lit(pattern)) & ~text.blocked_before(F.right(prefix, F.lit(55)))
     for p in rule["excludes"]:
         ok = ok & ~F.regexp_like(t, F.lit(FLAGS + f"(?:{p})"))
@@ -93,21 +93,21 @@ def capability_map(bullets: DataFrame, matches: DataFrame, flags: DataFrame) ->
 def verify_map(mapped: DataFrame, bullets: DataFrame, flags: DataFrame) -> DataFrame:
     """How many rows break each promise of the map: a bullet without text, a quote that isn't in it, a flag that differs, a key twice."""
     rows = mapped.join(bullets.select("bullet_id", "text"), "bullet_id", "left").join(flags.select("bullet_id", F.col("exclude_from_scoring").alias("flag")), "bullet_id", "left")
-    doubled = mapped.groupBy("bullet_id", "capability_id", "domain", "tracer_id").count().where("count > 1").count()
-    return rows.agg(
+    doubled = mapped.groupBy("bullet_id", "capability_id", "domain", "tracer_id").count().where("count > 1").agg(F.count("*").alias("repeated_keys"))  # one row
+    figures = rows.agg(
         F.count("*").alias("n_rows"),
         F.count_if(F.col("text").isNull()).alias("without_bullet"),
         F.count_if(~F.col("text").contains(F.col("supporting_quote")) | (F.col("supporting_quote") == "")).alias("quote_not_in_text"),
         F.count_if(~F.col("flag").eqNullSafe(F.col("exclude_from_scoring"))).alias("flag_differs"),
-        F.lit(doubled).cast("long").alias("repeated_keys"),
     )
+    return figures.crossJoin(F.broadcast(doubled))
 
 
 def sample_per_group(df: DataFrame, keys: list[str], n: int, seed: int, order: list[str]) -> DataFrame:
-    """At most n rows of each group, drawn by a hash of the ordering columns and the seed; the same rows each time."""
+    """At most n rows of each group, drawn by the MD5 of the seed and the ordering columns; the same rows each time."""
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *order), *order))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(text.drawn_by(seed, *order), *order))
     return df.withColumn("factloom_rank", rank).where(F.col("factloom_rank") <= n).drop("factloom_rank")
 
 

@@ -12,13 +12,37 @@ from factloom.operators.phrases import find_phrases, longest_spans
 MARGIN_KM, NEAR_KM, FAR_KM, NEARBY_CHARS = 25.0, 50.0, 75.0, 60
 
 
+def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Adds the place (from 1) of each row in the order of a column of distinct normalised texts.
+
+    Rows are numbered within what begins with the same two characters, of which there are at most 37 x 37; only the numbers of these go to one task.
+    """
+    starts = df.withColumn("factloom_start", F.left(column, F.lit(2)))
+    sizes = starts.groupBy("factloom_start").agg(F.count("*").alias("factloom_n"))
+    before = F.coalesce(F.sum("factloom_n").over(Window.orderBy("factloom_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("factloom_start", before.alias("factloom_before"))
+    own = F.row_number().over(Window.partitionBy("factloom_start").orderBy(column))
+    return starts.withColumn("factloom_own", own).join(F.broadcast(offsets), "factloom_start").withColumn(name, (F.col("factloom_before") + F.col("factloom_own")).cast("long")).select(*df.columns, name)
+
+
+def _city_rows(facilities: DataFrame) -> DataFrame:
+    rows = facilities.select(text.normalize(F.col("address_city").cast("string")).alias("alias"), geo.number(F.col("latitude")).alias("lat"), geo.number(F.col("longitude")).alias("lon"))
+    return rows.where(text.valid_alias(F.col("alias")))
+
+
+def _medians(facilities: DataFrame) -> DataFrame:
+    rows = _city_rows(facilities).where(geo.on_earth(F.col("lat"), F.col("lon")))
+    return rows.groupBy("alias").agg(F.median("lat").alias("latitude"), F.median("lon").alias("longitude"))
+
+
+def _own_places(cities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    places = numbered(cities, "alias", "factloom_id").select((-F.col("factloom_id")).alias("geoname_id"), F.col("alias").alias("name"), "latitude", "longitude")
+    return places, places.select("geoname_id", F.col("name").alias("alias"))
+
+
 def city_gazetteer(facilities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Places and aliases from the facilities themselves: the median position of each city, ids -1, -2 and so on in order of cities."""
-    rows = facilities.select(text.normalize(F.col("address_city").cast("string")).alias("alias"), geo.number(F.col("latitude")).alias("lat"), geo.number(F.col("longitude")).alias("lon"))
-    rows = rows.where(text.valid_alias(F.col("alias")) & geo.on_earth(F.col("lat"), F.col("lon")))
-    cities = rows.groupBy("alias").agg(F.median("lat").alias("latitude"), F.median("lon").alias("longitude"))
-    places = cities.withColumn("geoname_id", -F.row_number().over(Window.orderBy("alias")).cast("long")).withColumn("name", F.col("alias"))
-    return places.select("geoname_id", "name", "latitude", "longitude"), places.select("geoname_id", "alias")
+    return _own_places(_medians(facilities))
 
 
 def resolve_places(mentions: DataFrame, places: DataFrame, aliases: DataFrame, keys: list[str], alias: str = "alias", lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -34,15 +58,21 @@ def resolve_places(mentions: DataFrame, places: DataFrame, aliases: DataFrame, k
 
 
 def restrict_gazetteer(places: DataFrame, aliases: DataFrame, facilities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The places that cities of facilities mean, and for cities without one the facilities' own median positions."""
-    own_places, own_aliases = city_gazetteer(facilities)
-    centres = own_places.join(own_aliases, "geoname_id").select("alias", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
-    meant = resolve_places(centres, places, aliases, [])
-    kept = meant.where("not ambiguous").select("geoname_id").distinct()
-    rest = own_aliases.join(meant.where("not ambiguous").select("alias"), "alias", "left_anti")
+    """The places that facilities mean by their cities, each facility by its own position, so one name may keep places in several states.
+
+    A city that some facility doesn't resolve (no place of the name, or several equally near) means the facilities' own median position and nothing else, if there is one.
+    """
+    asked = _city_rows(facilities).distinct()
+    meant = resolve_places(asked.withColumn("factloom_at", F.struct("lat", "lon")), places, aliases, ["factloom_at"]).where("not ambiguous")
+    kept = meant.select("geoname_id").distinct()
+    found = meant.select("alias", F.col("factloom_at").alias("at")).distinct()
+    same = (asked["alias"] == found["alias"]) & asked["lat"].eqNullSafe(found["at.lat"]) & asked["lon"].eqNullSafe(found["at.lon"])
+    unresolved = asked.join(found, same, "left_anti").select("alias").distinct()
+    own_places, own_aliases = _own_places(_medians(facilities).join(unresolved, "alias", "left_semi"))
     columns = ["geoname_id", "name", "latitude", "longitude"]
-    out = places.join(kept, "geoname_id", "left_semi").select(*columns).unionByName(own_places.join(rest.select("geoname_id"), "geoname_id", "left_semi").select(*columns))
-    return out, aliases.join(kept, "geoname_id", "left_semi").select("geoname_id", "alias").unionByName(rest.select("geoname_id", "alias"))
+    out = places.join(kept, "geoname_id", "left_semi").select(*columns).unionByName(own_places.select(*columns))
+    old = aliases.join(kept, "geoname_id", "left_semi").select("geoname_id", "alias").join(own_aliases.select("alias"), "alias", "left_anti")
+    return out, old.select("geoname_id", "alias").unionByName(own_aliases)
 
 
 def org_index(facilities: DataFrame) -> DataFrame:
@@ -53,10 +83,6 @@ def org_index(facilities: DataFrame) -> DataFrame:
     return terms.withColumn("core", text.org_core(F.col("term"))).withColumn("generic", text.is_generic_org(F.col("term")))
 
 
-def _any(flag: Column) -> Column:
-    return F.coalesce(F.bool_or(flag), F.lit(False))
-
-
 def audit_bullets(bullets: DataFrame, places: DataFrame, aliases: DataFrame, orgs: DataFrame) -> DataFrame:
     """bullet_id, facility_id, status, exclude_from_scoring, reason_codes, matched_places, matched_organizations, duplicate_facility_ids."""
     own = bullets.select("facility_id", "facility_city", "facility_name", "facility_latitude", "facility_longitude").distinct()
@@ -80,7 +106,7 @@ def audit_bullets(bullets: DataFrame, places: DataFrame, aliases: DataFrame, org
         ~at_home & context,
         F.when(t.rlike(text.BRANCH_CUES), "possible_branch_location").when(F.col("distance_km") >= FAR_KM, "explicit_distant_location").otherwise("foreign_location_needs_review"),
     )
-    place = F.struct(F.col("start").alias("start"), F.col("alias").alias("mention"), F.col("name").alias("canonical"), "geoname_id", F.bround("distance_km", 1).alias("distance_km"))
+    place = F.struct(F.col("start").alias("start"), F.col("alias").alias("mention"), F.col("name").alias("canonical"), "geoname_id", geo.rounded(F.col("distance_km"), 1).alias("distance_km"))
     place_facts = spans.withColumn("reason", reason).groupBy("bullet_id").agg(F.collect_set("reason").alias("place_reasons"), F.array_sort(F.collect_list(F.when(~F.col("ambiguous"), place))).alias("matched_places"))
 
     named = longest_spans(find_phrases(texts, orgs, "bullet_id", phrase="term"), "bullet_id").withColumnRenamed("phrase", "term")

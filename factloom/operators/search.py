@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import geo, text
 from factloom.functions.text import normalize_text
-from factloom.operators.bullets import keep_first
+from factloom.operators.bullets import FIELDS, keep_first
 from factloom.operators.mapping import CAPABILITIES, DOMAINS
 
 BANDS_KM = [50.0, 150.0, 300.0, 600.0]
@@ -28,6 +28,7 @@ def city_index(facilities: DataFrame, city: str = "address_city", state: str = "
 
 
 def main_city(stats: DataFrame) -> DataFrame:
+    """Of each normalised city the state with the most facilities, ties to the smaller state."""
     return keep_first(stats, ["norm_city"], [F.desc("count"), F.col("state").asc_nulls_last()])
 
 
@@ -40,22 +41,36 @@ def with_mismatch(facilities: DataFrame, stats: DataFrame, norm: Callable[[Colum
     return both.withColumn("geo_mismatch_km", geo.haversine(lat, lon, F.col("factloom_lat"), F.col("factloom_lon"))).select(*facilities.columns, "geo_mismatch_km")
 
 
-def nearest_city(facilities: DataFrame, stats: DataFrame, key: str = "unique_id") -> DataFrame:
-    """key, nearest_label, nearest_km for facilities far from their own city: the closest centre. The centres are few and go to every task; Spark checks their size."""
-    centres = stats.select(F.concat_ws(", ", "display_city", "state").alias("label"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
-    far = facilities.where(F.col("geo_mismatch_km") >= geo.MISMATCH_KM)
-    d = geo.haversine(geo.number(F.col("latitude")), geo.number(F.col("longitude")), F.col("c_lat"), F.col("c_lon"))
-    pairs = far.select(key, "latitude", "longitude").crossJoin(centres).withColumn("nearest_km", d)
-    return pairs.groupBy(key).agg(F.min_by("label", F.struct("nearest_km", "label")).alias("nearest_label"), F.min("nearest_km").alias("nearest_km"))
+#: Sizes of grid cells in degrees. The last has three by two cells, of which any place and its neighbours are all.
+CELLS = [0.5, 2.0, 8.0, 120.0]
 
 
-def ranked_order(mode: str) -> list[Column]:
-    """Order within the evidence tier; any other mode is by distance."""
-    if mode == "best":
-        return [F.desc("composite_score"), F.asc("distance_km"), F.asc("facility_id")]
-    if mode == "most_evidence":
-        return [F.asc("verdict_rank"), F.desc("distinct_tracer_count"), F.asc("distance_km"), F.asc("facility_id")]
-    return [F.asc("distance_km"), F.asc("facility_id")]
+def nearest_city(facilities: DataFrame, stats: DataFrame, key: str = "unique_id") -> DataFrame:
+    """key, nearest_label, nearest_km for facilities far from their own city: the closest centre.
+
+    Facilities meet the centres of their grid cell and its neighbours. A centre nearer than anything beyond these can be is the closest; the others go on to larger cells.
+    """
+    lat, lon = geo.number(F.col("latitude")), geo.number(F.col("longitude"))
+    left = facilities.where(F.col("geo_mismatch_km") >= geo.MISMATCH_KM).select(key, lat.alias("f_lat"), lon.alias("f_lon")).where("f_lat is not null and f_lon is not null").distinct()
+    centres = stats.select(F.concat_ws(", ", "display_city", "state").alias("label"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
+    found = None
+    for size in CELLS:
+        across = round(360 / size)
+        row = lambda c: F.floor((F.col(c) + 90) / size)
+        column = lambda c: F.pmod(F.floor((F.col(c) + 180) / size), F.lit(across))
+        cells = centres.withColumn("row", row("c_lat")).withColumn("column", column("c_lon"))
+        steps = F.sequence(F.lit(-1), F.lit(1))
+        around = left.withColumn("row", F.explode(F.transform(steps, lambda d: row("f_lat") + d))).withColumn("column", F.explode(F.array_distinct(F.transform(steps, lambda d: F.pmod(column("f_lon") + d, F.lit(across))))))
+        pairs = around.join(cells, ["row", "column"]).withColumn("km", geo.haversine(F.col("f_lat"), F.col("f_lon"), F.col("c_lat"), F.col("c_lon")))
+        best = pairs.groupBy(key, "f_lat", "f_lon").agg(F.min_by("label", F.struct("km", "label")).alias("nearest_label"), F.min("km").alias("nearest_km"))
+        if size != CELLS[-1]:
+            # a place that differs by a cell in latitude, or by one in longitude within that latitude
+            edge = F.least(F.lit(90.0), F.abs("f_lat") + size)
+            reach = F.least(F.lit(size), F.degrees(2 * F.asin(F.cos(F.radians(edge)) * F.sin(F.radians(F.lit(size / 2)))))) * (geo.EARTH_RADIUS_KM * 3.141592653589793 / 180)
+            best = best.where(F.col("nearest_km") <= reach)
+            left = left.join(best.select(key, "f_lat", "f_lon"), [key, "f_lat", "f_lon"], "left_anti")
+        found = best if found is None else found.unionByName(best)
+    return found.groupBy(key).agg(F.min_by("nearest_label", F.struct("nearest_km", "nearest_label")).alias("nearest_label"), F.min("nearest_km").alias("nearest_km"))
 
 
 def adaptive_band(rows: DataFrame, counts: Column, bands: list[float] | None = None, least: int = LEAST_RESULTS) -> DataFrame:
@@ -96,15 +111,21 @@ def rank_candidates(readiness: DataFrame, facilities: DataFrame, capability: str
 
 
 def search_raw(bullets: DataFrame, facilities: DataFrame, terms: list[str], lat: float, lon: float, mode: str = "best", limit: int = LIMIT) -> DataFrame:
-    """Facilities with bullets that hold all terms as whole words: their number, the first five, and a score of number and distance."""
+    """Facilities with bullets that hold all terms as whole words: their number, the first five, and a score of number and distance.
+
+    Of a facility's bullets with the same text, as written, the first counts. Order: field, position (where the bullets have one), id.
+    """
     hits = bullets
     for term in terms:
         hits = hits.where(F.col("text_norm").rlike(r"\b\Q" + term + r"\E\b"))
     if not terms:
         hits = hits.where("false")
-    hits = keep_first(hits, ["facility_id", "text_norm"], ["bullet_id"])
-    rank = F.row_number().over(Window.partitionBy("facility_id").orderBy("bullet_id"))
-    items = hits.withColumn("r", rank).groupBy("facility_id").agg(F.count("*").alias("raw_match_count"), F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.struct("bullet_id", "text")))).alias("items"))
+    field = F.array_position(F.array(*[F.lit(f) for f in FIELDS]), F.col("source_field"))
+    order = [F.when(field == 0, len(FIELDS) + 1).otherwise(field), *(["position"] if "position" in bullets.columns else []), "bullet_id"]
+    hits = keep_first(hits, ["facility_id", "text"], order)
+    rank = F.row_number().over(Window.partitionBy("facility_id").orderBy(*order))
+    firsts = F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.struct("r", "bullet_id", "source_field", "text"))))
+    items = hits.withColumn("r", rank).groupBy("facility_id").agg(F.count("*").alias("raw_match_count"), F.transform(firsts, lambda x: x.dropFields("r")).alias("items"))
     places = keep_first(facilities.select(F.col("unique_id").cast("string").alias("facility_id"), "name", geo.number(F.col("latitude")).alias("lat"), geo.number(F.col("longitude")).alias("lon")), ["facility_id"], ["name"])
     rows = items.join(places, "facility_id").where("lat is not null and lon is not null")
     rows = rows.withColumn("distance_km", geo.haversine(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon")))
@@ -181,7 +202,3 @@ def parse_query(query: str, capabilities: dict[str, str], cities: dict[str, tupl
         return replace(parsed, used_llm_fallback=bool(gained), **gained)
     except Exception as e:  # the helper is the caller's; any failure of it must not lose the plain result
         return replace(parsed, llm_error=f"{type(e).__name__}: {e}"[:200])
-
-
-def index_tables(spark: SparkSession, capabilities: dict[str, str]) -> DataFrame:
-    return spark.createDataFrame(sorted(capabilities.items()), "phrase string, capability_id string")
