@@ -6,15 +6,18 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions import text
+from factloom.functions import geo, text
 from factloom.operators.bullets import keep_first
 from factloom.operators.phrases import bounded_substrings
 from factloom.sources.tables import insert_absent
 
-CORROBORATION = "facility_id string, capability_id string, cache_key string, answer string, quote string, source_url string, error string"
+#: What is known of a pair after corroboration; the first seven columns are given, the others found.
+CORROBORATION = "facility_id string, facility_name string, facility_city string, capability_id string, query string, cache_key string, known_source_count int, status string, exact_quote string, source_url string, source_tier string, reason string, facility_identity_match boolean"
+FOUND = ["status", "exact_quote", "source_url", "source_tier", "reason", "facility_identity_match"]
+METADATA = {"name": "facility_name", "address_city": "facility_city", "address_stateOrRegion": "facility_state", "officialWebsite": "official_website", "websites": "websites", "source_urls": "source_urls"}
 
 
 def select_candidates(mapped: DataFrame, per_capability: int = 10, total: int = 100) -> DataFrame:
@@ -36,34 +39,76 @@ def merge_sources(sources: DataFrame) -> DataFrame:
     return last.withColumn("tier", text.source_tier(F.col("url"), F.col("official"))).orderBy("tier", "ord", "url")
 
 
-def corroborate(asked: DataFrame, cache: DataFrame | None, client: Callable[[dict], dict] | None) -> DataFrame:
-    """CORROBORATION rows for (facility_id, capability_id, cache_key, source_text, source_url): cached ones as they are, the others from the client.
+def known_sources(official: Column, *lists: Column) -> Column:
+    """array<struct<url, title, content, source_tier, origin>> of a facility's own URLs: those of JSON lists, then its website, each once, the better tiers first."""
+    own = F.when(F.coalesce(official, F.lit("")) != "", F.array(official)).otherwise(F.expr("cast(array() as array<string>)"))
+    urls = F.transform(F.concat(*[text.url_list(c) for c in lists], own), lambda u: F.when(u.rlike("^https?://"), u).otherwise(F.concat(F.lit("https://"), u)))
+    ranked = F.array_sort(F.transform(F.array_distinct(urls), lambda u, i: F.struct(text.source_tier(u, official).alias("source_tier"), i.alias("i"), u.alias("url"))))
+    return F.transform(ranked, lambda r: F.struct(r["url"].alias("url"), F.lit("Existing facility source").alias("title"), F.lit("").alias("content"), r["source_tier"].alias("source_tier"), F.lit("existing_source_url").alias("origin")))
 
-    Only quotes that stand in their source count; a failing client gives an unverified row with its error. Without client: a dry run.
+
+def prepare_corroboration(candidates: DataFrame, facilities: DataFrame) -> DataFrame:
+    """The candidates with what is asked for each: facility, query, cache_key, sources, known_source_count."""
+    named = with_metadata(candidates, facilities, list(METADATA)).withColumnsRenamed(METADATA)
+    query = text.search_query(F.col("facility_name"), F.col("facility_city"), F.col("facility_state"), F.col("capability_id"))
+    sources = known_sources(F.col("official_website"), F.col("source_urls"), F.col("websites"))
+    rows = named.withColumn("query", query).withColumn("cache_key", text.cache_key(F.col("facility_id"), F.col("capability_id"), F.col("query"))).withColumn("sources", sources)
+    return rows.withColumn("known_source_count", F.size("sources")).drop("official_website", "websites", "source_urls")
+
+
+def bound_answer(answer: dict, sources: list[dict]) -> dict:
+    """The answer if its quote stands word by word in the source that it names, or has none; else an unverified one."""
+    quote, url = str(answer.get("exact_quote") or ""), str(answer.get("source_url") or "")
+    if quote and not any(s["url"] == url and quote in (s.get("content") or "") for s in sources):
+        return {"status": "unverified", "exact_quote": "", "source_url": "", "source_tier": "", "reason": "the quote does not stand in the source", "facility_identity_match": None}
+    filled = {"status": "unverified", "exact_quote": "", "source_url": "", "source_tier": "", "reason": "", "facility_identity_match": None}
+    return {k: answer.get(k, v) for k, v in filled.items()}
+
+
+def corroborate(asked: DataFrame, cache: DataFrame | None, search: Callable[[str], list[dict]] | None, extract: Callable[[dict, list[dict]], dict] | None, refresh: bool = False) -> DataFrame:
+    """CORROBORATION rows and `fresh` for prepare_corroboration's rows.
+
+    Pairs whose cache_key is in the cache (rows of this form) keep what it says, unless refresh. For the others search(query) adds sources (url, content; of a
+    URL named twice the later entry counts), extract(row, sources) answers, and only quotes that stand in their source count. Any failure gives an unverified row with its
+    kind, never a negative answer. Without search or extract: a dry run, which calls nothing.
     """
     columns = [c.split()[0] for c in CORROBORATION.split(", ")]
-    known = asked.select("facility_id", "capability_id", "cache_key").join(cache.select("cache_key", "answer", "quote", "source_url", "error"), "cache_key").select(*columns) if cache is not None else None
-    rest = asked.join(cache.select("cache_key"), "cache_key", "left_anti") if cache is not None else asked
+    dry = search is None or extract is None
+    use = cache is not None and not refresh
+    known = asked.select(*[c for c in columns if c not in FOUND]).join(cache.select("cache_key", *FOUND).dropDuplicates(["cache_key"]), "cache_key").select(*columns).withColumn("fresh", F.lit(False)) if use else None
+    rest = asked.join(cache.select("cache_key").distinct(), "cache_key", "left_anti") if use else asked
+
+    def answer(row: dict) -> dict:
+        sources = [dict(s) for s in json.loads(row["sources"])]
+        if dry:
+            return {"status": "dry_run", "exact_quote": "", "source_url": "", "source_tier": "", "reason": f"{len(sources)} known sources; nothing was called", "facility_identity_match": None, "known_source_count": len(sources)}
+        try:
+            found = [dict(s, source_tier=s.get("source_tier") or "C_other_web") for s in search(row["query"])]
+            sources = sorted({s["url"]: s for s in [*sources, *found]}.values(), key=lambda s: s["source_tier"])
+            said = bound_answer(extract(row, sources), sources)
+        except Exception as e:  # noqa: BLE001  one bad answer must not end the run, and says nothing about the facility
+            said = {"status": "unverified", "exact_quote": "", "source_url": "", "source_tier": "", "reason": f"failed safely: {type(e).__name__}", "facility_identity_match": None}
+        return said | {"known_source_count": len(sources)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for r in batch.to_dict("records"):
-                out = {"answer": "unverified", "quote": "", "error": "dry run" if client is None else None}
-                if client is not None:
-                    try:
-                        said = client(r)
-                        bound = bool(said.get("quote")) and said["quote"] in (r["source_text"] or "")
-                        out |= {"answer": said.get("answer", "unverified") if bound else "unverified", "quote": said["quote"] if bound else ""}
-                    except Exception as e:  # noqa: BLE001  one bad answer must not end the run
-                        out["error"] = f"{type(e).__name__}: {e}"
-                rows.append({**{k: r[k] for k in ("facility_id", "capability_id", "cache_key", "source_url")}, **out})
-            yield pd.DataFrame(rows, columns=columns)
-
-    fresh = rest.select("facility_id", "capability_id", "cache_key", "source_text", "source_url").mapInPandas(run, CORROBORATION)
+            rows = [{k: v for k, v in r.items() if k != "sources"} | answer(r) | {"fresh": not dry} for r in batch.to_dict("records")]
+            yield pd.DataFrame(rows, columns=[*columns, "fresh"])
+
+    given = [c for c in columns if c not in FOUND]
+    fresh = rest.select(*given, F.to_json("sources").alias("sources")).mapInPandas(run, CORROBORATION + ", fresh boolean")
     return fresh if known is None else known.unionByName(fresh)
 
 
+def corroboration_summary(results: DataFrame, mapped: DataFrame, per_capability: int = 10, total: int = 100) -> DataFrame:
+    """One row: pairs available and selected, the caps, calls (two for each fresh row that didn't fail at the search), status counts by name."""
+    available = mapped.select("facility_id", "capability_id").distinct().agg(F.count("*").alias("pairs_available"))
+    status = results.groupBy("status").agg(F.count("*").alias("n"))
+    counts = status.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("status_counts"))
+    totals = results.agg(F.count("*").alias("pairs_selected"), F.count_if("fresh").alias("fresh_pairs"))
+    return available.crossJoin(totals).crossJoin(counts).withColumn("per_capability_cap", F.lit(per_capability)).withColumn("total_cap", F.lit(total))  # one row each
+
+
 def save_shortlist(spark, path: str, user: str, facility: str, capability: str, context: dict, verdict: str, distance: float, saved_at: str) -> bool:
     """Whether the item is new. user: white space collapsed, 120 characters at most, not empty."""
     name = " ".join(user.split())[:120]
@@ -96,16 +141,76 @@ def contamination_scan(bullets: DataFrame, facilities: DataFrame) -> DataFrame:
 
 
 def source_histogram(facilities: DataFrame, column: str) -> DataFrame:
-    """bucket, n, pct of the number of distinct items in a JSON array column; all buckets in order."""
+    """bucket, n, pct of the number of distinct items, of any kind, in a JSON array column; all buckets in order."""
     spark = facilities.sparkSession
     buckets = spark.createDataFrame([(0, "1"), (1, "2-4"), (2, "5+")], "ord int, bucket string")
-    n = F.size(F.array_distinct(text.json_strings(F.col(column), stripped=False)))
+    n = F.coalesce(F.size(F.array_distinct(F.transform(text.json_items(F.col(column)), lambda v: F.to_json(v)))), F.lit(0))
     counts = facilities.select(text.source_bucket(n).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
     rows = buckets.join(counts, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return rows.withColumn("pct", F.coalesce(F.bround(100 * F.try_divide("n", F.sum("n").over(Window.partitionBy())), 1), F.lit(0.0))).orderBy("ord").drop("ord")
+    return rows.withColumn("pct", F.coalesce(geo.rounded(100 * F.try_divide("n", F.sum("n").over(Window.partitionBy())), 1), F.lit(0.0))).orderBy("ord").drop("ord")
 
 
 def aligned(df: DataFrame, key: str, left: str, right: str) -> DataFrame:
     """key, position, left, right: two arrays side by side, the shorter filled with nulls; only rows with both."""
     both = df.where((F.size(left) > 0) & (F.size(right) > 0))
     return both.select(key, F.posexplode(F.arrays_zip(F.col(left).alias("l"), F.col(right).alias("r"))).alias("position", "z")).select(key, "position", F.col("z.l").alias(left), F.col("z.r").alias(right))
+
+
+def alignment_report(facilities: DataFrame, left: str, right: str, n: int = 30, seed: int = 42, key: str = "unique_id") -> DataFrame:
+    """key, name, n_left, n_right, pairs (index, left, right) of a seeded sample of the rows whose two JSON arrays both have items; a key that is listed twice counts once."""
+    first = keep_first(facilities.select(key, "name", left, right), [key], ["name", left, right])
+    items = first.select(key, "name", text.item_texts(F.col(left)).alias("l"), text.item_texts(F.col(right)).alias("r")).where((F.size("l") > 0) & (F.size("r") > 0))
+    drawn = sample_rows(items, {"": (F.lit(True), n)}, seed, key)
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("l"), F.size("r")) - 1), lambda i: F.struct(i.alias("index"), F.get("l", i).alias("left"), F.get("r", i).alias("right")))
+    return drawn.select("place", key, "name", F.size("l").alias("n_left"), F.size("r").alias("n_right"), pairs.alias("pairs"))
+
+
+def sample_rows(df: DataFrame, strata: dict[str, tuple[Column, int]], seed: int, key: str) -> DataFrame:
+    """The rows of a seeded sample with `stratum` and `place` (from 1, in an order shuffled by the seed). strata: name to condition and most rows; a row goes to the first that holds.
+
+    Rows are drawn and shuffled by hashes of seed and key, so the same rows come whatever the partitions; each stratum is a distributed top-n.
+    """
+    name = F.lit(None).cast("string")
+    for stratum, (condition, _) in reversed(strata.items()):
+        name = F.when(condition, stratum).otherwise(name)
+    named = df.withColumn("stratum", name)
+    drawn = None
+    for stratum, (_, n) in strata.items():
+        own = named.where(F.col("stratum") == stratum).orderBy(text.drawn_by(seed, key), key).limit(n)
+        drawn = own if drawn is None else drawn.unionByName(own)
+    shuffled = Window.partitionBy(F.lit(1)).orderBy(text.drawn_by(seed + 1, key), key)  # the sample only
+    return drawn.withColumn("place", F.row_number().over(shuffled))
+
+
+def bucket_agreement(scanned: DataFrame, judged: DataFrame, key: str = "unique_id") -> DataFrame:
+    """Counts of the scan's obvious and borderline rows by what a judge says of them, and precision and recall (three decimals) of the obvious bucket. scanned: key, obvious; judged: key, genuine."""
+    both = judged.select(key, "genuine").join(scanned.select(key, "obvious"), key)
+    n = lambda c: F.count_if(c)
+    obvious, genuine = F.col("obvious"), F.col("genuine")
+    counts = both.agg(
+        F.count("*").alias("n_sampled"), n(obvious).alias("obvious"), n(~obvious).alias("borderline"), n(genuine).alias("genuine"),
+        n(obvious & genuine).alias("obvious_confirmed"), n(obvious & ~genuine).alias("obvious_rejected"), n(~obvious & genuine).alias("borderline_confirmed"), n(~obvious & ~genuine).alias("borderline_rejected"),
+    )
+    return counts.withColumn("precision", geo.rounded(F.try_divide("obvious_confirmed", "obvious"), 3)).withColumn("recall", geo.rounded(F.try_divide("obvious_confirmed", "genuine"), 3))
+
+
+ANSWERS = "map<string, array<struct<capability_id: string, domain: string, tracer_id: string, supporting_quote: string>>>"
+
+
+def validated_answers(answers: DataFrame, rules: DataFrame) -> DataFrame:
+    """text, capability_id, domain, tracer_id, supporting_quote from a model's answers to batches of texts: rows (batch_id, batch, raw; at, of a text asked twice the latest batch counts).
+
+    raw: text with one JSON object from place in the batch to matches. A place outside the batch, a tracer that the rules don't have, and a quote that doesn't stand in the text are dropped.
+    """
+    at = F.col("at") if "at" in answers.columns else F.col("batch_id")
+    asked = answers.select(at.alias("at"), F.from_json(F.regexp_extract("raw", r"(?s)\{.*\}", 0), ANSWERS).alias("said"), F.posexplode("batch").alias("place", "text"))
+    last = keep_first(asked, ["text"], [F.desc("at"), F.desc("place")])
+    entries = last.select("text", "place", F.explode(F.map_entries("said")).alias("e")).where(F.trim("e.key").try_cast("int") == F.col("place"))
+    found = entries.select("text", F.explode("e.value").alias("m")).select("text", "m.*").where((F.coalesce("supporting_quote", F.lit("")) != "") & F.col("text").contains(F.col("supporting_quote")))
+    return found.join(F.broadcast(rules.select("capability_id", "domain", "tracer_id").distinct()), ["capability_id", "domain", "tracer_id"], "left_semi").select("text", "capability_id", "domain", "tracer_id", "supporting_quote")
+
+
+def answers_to_bullets(found: DataFrame, bullets: DataFrame, flags: DataFrame, model: str) -> DataFrame:
+    """The matches of texts back at their bullets, with the model's name and the bullet's provenance (null without a flag)."""
+    rows = bullets.select("bullet_id", "facility_id", "source_field", "text").join(found, "text").drop("text").withColumn("llm_model", F.lit(model))
+    return rows.join(flags.select("bullet_id", F.col("status").alias("provenance_status"), "exclude_from_scoring"), "bullet_id", "left")
