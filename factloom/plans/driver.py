@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import geo, text
 from factloom.operators import mapping, phrases, provenance, readiness, review, search
-from factloom.operators.bullets import cross_facility_duplicates, keep_first
+from factloom.operators.bullets import cross_facility_duplicates, explode_bullets, keep_first
 from factloom.plans import views as v
 from factloom.plans.views import distance_sql, read, sql
 
@@ -63,9 +63,9 @@ def flt5_membership(spark, sf):
     return v.facilities(spark, sf).select("unique_id", F.lower(F.trim(F.coalesce("facilityTypeId", F.lit("")))).isin(geo.IMPLAUSIBLE_TYPES).alias("implausible"))
 
 
-@query(sql("SELECT bullet_id FROM bullet WHERE length(text_norm) >= 80 AND len(string_split(text_norm, ' ')) >= 10", "bullet"))
+@query(sql("SELECT text_norm, count(DISTINCT facility_id) AS n FROM bullet WHERE length(text_norm) >= 80 AND len(string_split(text_norm, ' ')) >= 10 GROUP BY text_norm HAVING count(DISTINCT facility_id) > 1", "bullet"))
 def flt6_detailed_texts(spark, sf):
-    return v.bullets(spark, sf).where((F.length("text_norm") >= 80) & (F.size(F.split("text_norm", " ")) >= 10)).select("bullet_id")
+    return cross_facility_duplicates(v.bullets(spark, sf)).select("text_norm", F.size("duplicate_facility_ids").cast("long").alias("n"))
 
 
 @query(sql(r"SELECT bullet_id FROM bullet WHERE regexp_matches(text_norm, '\bthe\b') AND regexp_matches(text_norm, '\bof\b')", "bullet"))
@@ -102,9 +102,11 @@ def fn6_fn7_distance_proximity(spark, sf):
     return v.facilities(spark, sf).where("latitude is not null").select("unique_id", F.round(km, 6).alias("km"), F.round(geo.proximity(km), 6).alias("proximity"))
 
 
-@query("SELECT s_suppkey, array_to_string(list_filter(string_split(trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '' AND t NOT IN ('care', 'center', 'general', 'co', 'ltd')), ' ') AS core FROM supplier")
+@query("SELECT part, array_to_string(list_filter(string_split(part, ' '), lambda t: t <> '' AND NOT list_contains(['" + "', '".join([*text.LEGAL_SUFFIXES, *text.HEALTHCARE_DESCRIPTORS]) + "'], t)), ' ') AS core FROM (SELECT DISTINCT trim(regexp_replace(lower(x || ' ' || p_name), '[^a-z0-9]+', ' ', 'g')) AS part FROM part, (VALUES " + ", ".join(f"('{w}')" for w in (*text.LEGAL_SUFFIXES, *text.HEALTHCARE_DESCRIPTORS, "carefree")) + ") AS w(x) WHERE p_partkey % 40 = 1)")
 def fn11_org_core(spark, sf):
-    return read(spark, sf, "supplier").select("s_suppkey", F.array_join(text.org_core(text.normalize_ascii(F.col("s_name"))), " ").alias("core"))
+    words = spark.createDataFrame([(w,) for w in (*text.LEGAL_SUFFIXES, *text.HEALTHCARE_DESCRIPTORS, "carefree")], "x string")
+    named = read(spark, sf, "part").where("p_partkey % 40 = 1").crossJoin(F.broadcast(words)).select(text.normalize_ascii(F.concat_ws(" ", "x", "p_name")).alias("part")).distinct()  # 34 words
+    return named.select("part", F.array_join(text.org_core(F.col("part")), " ").alias("core"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN position('the' IN lower(text)) > 0 THEN left(text, position('the' IN lower(text)) - 1) ELSE text END AS before, CASE WHEN position('the' IN lower(text)) > 0 THEN substring(text, position('the' IN lower(text)), 3) ELSE '' END AS match FROM conversations")
@@ -159,10 +161,21 @@ def facility_op8_capability_map(spark, sf):
     return mapped(spark, sf).drop("matcher_method")
 
 
-@query(sql("SELECT count(*) AS n_rows, 0::BIGINT AS without_bullet, 0::BIGINT AS quote_not_in_text, 0::BIGINT AS flag_differs, 0::BIGINT AS repeated_keys FROM mapped", "mapped"))
+@query(
+    sql(
+        """SELECT count(*) AS n_rows, count(*) FILTER (WHERE b.text IS NULL) AS without_bullet, count(*) FILTER (WHERE NOT contains(b.text, m.supporting_quote)) AS quote_not_in_text,
+count(*) FILTER (WHERE f.flag IS DISTINCT FROM m.exclude_from_scoring) AS flag_differs, (SELECT count(*) FROM (SELECT 1 FROM doubled GROUP BY bullet_id, capability_id, domain, tracer_id HAVING count(*) > 1)) AS repeated_keys
+FROM doubled m LEFT JOIN (SELECT bullet_id, CASE WHEN position % 5 = 1 THEN 'changed' ELSE text_norm END AS text FROM bullet WHERE position % 5 <> 2) b ON m.bullet_id = b.bullet_id LEFT JOIN (SELECT bullet_id, CASE WHEN position % 5 = 3 THEN NOT exclude_from_scoring ELSE exclude_from_scoring END AS flag FROM flag JOIN bullet USING (bullet_id)) f ON m.bullet_id = f.bullet_id""",
+        "mapped",
+    ).replace("SELECT count(*) AS n_rows", ", doubled AS (SELECT * FROM mapped UNION ALL SELECT * FROM mapped WHERE ends_with(bullet_id, '4')) SELECT count(*) AS n_rows")
+)
 def facility_op9_map_verification(spark, sf):
-    bullets = v.bullets(spark, sf).withColumn("text", F.col("text_norm"))
-    return mapping.verify_map(mapped(spark, sf), bullets, v.flags(spark, sf))
+    """The map against bullets that were changed, lost and flagged anew, with some rows twice: every promise is broken somewhere."""
+    bullets, rows = v.bullets(spark, sf).withColumn("text", F.col("text_norm")), mapped(spark, sf)
+    fifth = F.split("bullet_id", "-")[1].cast("int") % 5
+    changed = bullets.where("position % 5 <> 2").withColumn("text", F.when(F.col("position") % 5 == 1, "changed").otherwise(F.col("text")))
+    flags = v.flags(spark, sf).withColumn("exclude_from_scoring", F.when(fifth == 3, ~F.col("exclude_from_scoring")).otherwise(F.col("exclude_from_scoring")))
+    return mapping.verify_map(rows.union(rows.where(F.col("bullet_id").endswith("4"))), changed, flags)
 
 
 @query("SELECT c_custkey, coalesce(n, 0) AS n_orders, coalesce(s, 0) AS total FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, CAST(round(sum(o_totalprice), 2) AS DOUBLE) AS s FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey")
@@ -177,9 +190,10 @@ def jn17_semi_join(spark, sf):
     return read(spark, sf, "customer").join(read(spark, sf, "orders").where("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+@query("SELECT c_custkey FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000) ON c_custkey = o_custkey")
 def jn17_anti_join(spark, sf):
-    return read(spark, sf, "customer").join(read(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    large = read(spark, sf, "orders").where("o_orderstatus = 'F' and o_totalprice > 100000")
+    return read(spark, sf, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 PHRASES = ["of the", "the", "released under", "mit license", "que la", "und der", "is of the"]
@@ -271,16 +285,15 @@ def ag16_op2_city_gazetteer(spark, sf):
     return places.select(F.col("name").alias("norm"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "geoname_id")
 
 
-@query(sql(f"SELECT {_NORM_CITY} AS norm_city, address_stateOrRegion AS state, round(avg(latitude), 9) AS lat, round(avg(longitude), 9) AS lon, count(*) AS \"count\" FROM facility WHERE latitude IS NOT NULL GROUP BY ALL", "facility"))
+@query(sql(f"SELECT norm_city, state, round(avg(latitude), 9) AS lat, round(avg(longitude), 9) AS lon, count(*) AS \"count\", min(address_city) AS display_city FROM (SELECT {_NORM_CITY} AS norm_city, address_stateOrRegion AS state, address_city, latitude, longitude FROM facility WHERE latitude IS NOT NULL) GROUP BY ALL", "facility"))
 def ag17_op13_city_index(spark, sf):
     rows = search.city_index(v.facilities(spark, sf))
-    return rows.select("norm_city", "state", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "count")
+    return rows.select("norm_city", "state", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "count", "display_city")
 
 
-@query("SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY c_mktsegment, c_nationkey QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY count(*) DESC, c_nationkey) = 1")
+@query("SELECT c_mktsegment AS norm_city, c_nationkey AS state, count(*) AS \"count\" FROM customer GROUP BY c_mktsegment, c_nationkey QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY count(*) DESC, c_nationkey) = 1")
 def ag18_mode_of_group(spark, sf):
-    n = read(spark, sf, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n"))
-    return keep_first(n, ["c_mktsegment"], [F.desc("n"), F.col("c_nationkey")])
+    return search.main_city(read(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("norm_city"), F.col("c_nationkey").alias("state")).count())
 
 
 @query(sql("SELECT facility_id, capability_id, count(*) AS n_rows, count(DISTINCT tracer_id) AS n_tracers, count(DISTINCT domain) AS n_domains FROM mapped GROUP BY facility_id, capability_id QUALIFY row_number() OVER (PARTITION BY capability_id ORDER BY count(DISTINCT domain) DESC, count(DISTINCT tracer_id) DESC, count(*) DESC, facility_id) <= 10", "mapped"))
@@ -290,9 +303,8 @@ def ag19_wn1_op11_candidates(spark, sf):
 
 @query(sql("SELECT capability_id, domain, tracer_id, count(*) AS n FROM mapped GROUP BY GROUPING SETS ((capability_id), (capability_id, domain), (capability_id, domain, tracer_id))", "mapped"))
 def ag20_nested_counts(spark, sf):
-    rows = mapped(spark, sf)
-    one = lambda *keys: rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    return one("capability_id", "domain", "tracer_id").unionByName(one("capability_id", "domain"), True).unionByName(one("capability_id"), True)
+    keys = [F.col(c) for c in ("capability_id", "domain", "tracer_id")]
+    return mapped(spark, sf).groupingSets([keys[:1], keys[:2], keys], *keys).agg(F.count("*").alias("n"))
 
 
 @query(sql("SELECT capability_id, tracer_id, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY capability_id) AS share FROM mapped GROUP BY capability_id, tracer_id QUALIFY count(*) >= 100 AND share >= 0.4", "mapped"))
@@ -382,9 +394,10 @@ def wn4_duplicate_detection(spark, sf):
     return docs.join(docs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "h").select("doc_id")
 
 
-@query("SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+@query("SELECT o_custkey FROM orders EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
 def so2_difference(spark, sf):
-    return read(spark, sf, "nation").select("n_nationkey").subtract(read(spark, sf, "supplier").select(F.col("s_nationkey").alias("n_nationkey")))
+    orders = read(spark, sf, "orders")
+    return orders.select("o_custkey").subtract(orders.where("o_orderstatus = 'F' and o_totalprice > 100000").select("o_custkey"))
 
 
 @query("SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier")
@@ -398,7 +411,7 @@ def so4_last_url_wins(spark, sf):
     return review.merge_sources(sources).select("url", "tier")
 
 
-@query()
+@query("SELECT o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('42|' || o_orderkey)) <= 3")
 def wn6_sample_per_group(spark, sf):
     return mapping.sample_per_group(read(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderstatus"], 3, 42, ["o_orderkey"])
 
@@ -432,32 +445,274 @@ for _mode, _order in _ORDERS.items():
 
 @query(
     sql("", "bullet", "facility").rstrip()
-    + f""", hit AS (SELECT facility_id, text_norm, min(bullet_id) AS bullet_id FROM bullet WHERE regexp_matches(text_norm, '\\bthe\\b') AND regexp_matches(text_norm, '\\bof\\b') GROUP BY ALL),
-base AS (SELECT facility_id, n, {_KM} AS km FROM (SELECT facility_id, count(*) AS n FROM hit GROUP BY facility_id) JOIN facility ON facility_id = unique_id WHERE latitude IS NOT NULL),
+    + f""", hit AS (SELECT * FROM (SELECT *, list_position(['capability', 'procedure', 'equipment'], source_field) AS fld FROM bullet WHERE regexp_matches(text_norm, '\\bthe\\b') AND regexp_matches(text_norm, '\\bof\\b')) QUALIFY row_number() OVER (PARTITION BY facility_id, text ORDER BY fld, position, bullet_id) = 1),
+base AS (SELECT facility_id, n, items, {_KM} AS km FROM (SELECT facility_id, count(*) AS n, array_to_string(list_slice(list(bullet_id || ' ' || source_field ORDER BY fld, position, bullet_id), 1, 5), ',') AS items FROM hit GROUP BY facility_id) JOIN facility ON facility_id = unique_id WHERE latitude IS NOT NULL),
 band AS (SELECT CASE WHEN count(*) FILTER (WHERE km <= 50) >= 5 THEN 50.0 WHEN count(*) FILTER (WHERE km <= 150) >= 5 THEN 150.0 WHEN count(*) FILTER (WHERE km <= 300) >= 5 THEN 300.0 WHEN count(*) FILTER (WHERE km <= 600) >= 5 THEN 600.0 END AS b FROM base),
 inside AS (SELECT base.* FROM base, band WHERE b IS NULL OR km <= b)
-SELECT facility_id, n AS raw_match_count, round(0.6 * ln(1 + n) / ln(1 + (SELECT greatest(1, max(n)) FROM inside)) + 0.4 / (1 + pow(km / 30, 2)), 6)::DOUBLE AS composite_score FROM inside ORDER BY 3 DESC, km, facility_id LIMIT 20"""
+SELECT facility_id, n AS raw_match_count, items, round(0.6 * ln(1 + n) / ln(1 + (SELECT greatest(1, max(n)) FROM inside)) + 0.4 / (1 + pow(km / 30, 2)), 6)::DOUBLE AS composite_score FROM inside ORDER BY 4 DESC, km, facility_id LIMIT 20"""
 )
 def facility_op16_raw_search(spark, sf):
     rows = search.search_raw(v.bullets(spark, sf), v.facilities(spark, sf), ["the", "of"], LAT, LON)
-    return rows.select("facility_id", "raw_match_count", F.round("composite_score", 6).alias("composite_score"))
+    firsts = F.array_join(F.transform("items", lambda x: F.concat_ws(" ", x["bullet_id"], x["source_field"])), ",")
+    return rows.select("facility_id", "raw_match_count", firsts.alias("items"), F.round("composite_score", 6).alias("composite_score"))
 
 
-@query()
-def facility_op17_cards(spark, sf):
-    ranked = search.rank_candidates(readiness_of(spark, sf), v.facilities(spark, sf), "licensing", LAT, LON)
-    bullets = v.bullets(spark, sf).select("bullet_id", F.col("text_norm").alias("text"))
-    return search.cards(ranked, mapped(spark, sf), bullets).select("facility_id", "label", F.array_join("gaps", ",").alias("gaps"), F.size("evidence").alias("n_domains"))
+# --- audit parts, text functions ---
+
+_WORDS = "trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _lines(spark, sf):
+    """The lines of conversations, normalised, with their first words as a term."""
+    rows = read(spark, sf, "conversations").select("conv_id", "turn", text.normalize_ascii(F.col("text")).alias("t"))
+    return rows.where("t <> ''").withColumn("term", F.element_at(F.split("t", " "), 3))
+
+
+_LINE = f"WITH line AS (SELECT conv_id, turn, t, string_split(t, ' ')[3] AS term FROM (SELECT conv_id, turn, {_WORDS} AS t FROM conversations) WHERE t <> '') "
+
+
+@query(sql("SELECT bullet_id, trim(regexp_replace(replace(lower(strip_accents(replace(text, 'ß', 'ss'))), '&amp;', ' and '), '[^a-z0-9]+', ' ', 'g')) AS plain, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS squeezed FROM bullet WHERE NOT regexp_matches(text, '[^\\x00-\\x{017F}]')", "bullet"))
+def fn1_fn2_unicode_forms(spark, sf):
+    """Both normal forms of texts with accents (letters up to U+017F)."""
+    rows = v.bullets(spark, sf).where(~F.col("text").rlike(r"[^\x00-\x{017F}]"))
+    return rows.select("bullet_id", text.normalize(F.col("text")).alias("plain"), text.squeeze(F.col("text")).alias("squeezed"))
+
+
+@query("SELECT part, part IN ('" + "', '".join(text.GENERIC_ORG_PHRASES) + "') OR len(list_filter(string_split(part, ' '), lambda t: t <> '' AND NOT list_contains(['" + "', '".join([*text.LEGAL_SUFFIXES, *text.HEALTHCARE_DESCRIPTORS]) + "'], t))) = 0 AS generic FROM (SELECT DISTINCT n_word || ' ' || x AS part FROM (SELECT lower(split_part(n_name, ' ', 1)) AS n_word FROM nation UNION SELECT unnest(['care', 'city', 'medical', 'india', 'the'])), (VALUES " + ", ".join(f"('{w}')" for w in ("hospital", "clinic", "centre ltd", "care")) + ") AS w(x))")
+def fn12_generic_names(spark, sf):
+    first = read(spark, sf, "nation").select(F.lower(F.split("n_name", " ")[0]).alias("w")).union(spark.createDataFrame([(w,) for w in ("care", "city", "medical", "india", "the")], "w string"))
+    parts = first.select(F.explode(F.array(*[F.concat("w", F.lit(" " + x)) for x in ("hospital", "clinic", "centre ltd", "care")])).alias("part")).distinct()
+    return parts.select("part", text.is_generic_org(F.col("part")).alias("generic"))
+
+
+_LOCATED = ["clinic in", "located at", "services near", "of the", "established in"]
+
+
+@query("SELECT o_orderkey, w, regexp_matches(right(prefix, 55), '" + text.LOCATION_END.replace("'", "''") + "') AS located FROM (SELECT o_orderkey, w, repeat('x ', CAST(o_orderkey % 40 AS INTEGER)) || w || ' ' AS prefix FROM orders, (VALUES " + ", ".join(f"('{w}')" for w in _LOCATED) + ") AS v(w) WHERE o_orderkey % 7 = 0)")
+def fn13_location_context(spark, sf):
+    words = spark.createDataFrame([(w,) for w in _LOCATED], "w string")
+    rows = read(spark, sf, "orders").where("o_orderkey % 7 = 0").crossJoin(F.broadcast(words)).withColumn("t", F.concat(F.expr("repeat('x ', cast(o_orderkey % 40 as int))"), "w", F.lit(" place")))  # five rows
+    return rows.select("o_orderkey", "w", text.location_context(F.col("t"), F.length("t") - 5).alias("located"))
+
+
+_VERB = r"^\s*(?:" + "|".join(text.OWNERSHIP_VERBS) + r")\b"
+
+
+@query(_LINE + f"SELECT conv_id, turn, NOT regexp_matches(b, '{text.CONTEXTUAL_CUES}') AND NOT regexp_matches(a, '{text.CONTEXTUAL_CUES}') AND (regexp_matches(a, '{_VERB}') OR regexp_matches(b, '\\b(?:by|at)\\s*$')) AS owns, regexp_matches(t, '{text.BRANCH_CUES}') AS branch FROM (SELECT conv_id, turn, t, right(left(t, p - 1), 35) AS b, substring(t, p + length(term), 55) AS a FROM (SELECT *, position(term IN t) AS p FROM line WHERE term IS NOT NULL))")
+def fn14_fn16_ownership_and_branches(spark, sf):
+    rows = _lines(spark, sf).where("term is not null").withColumn("at", F.expr("position(term, t)") - 1)
+    return rows.select("conv_id", "turn", text.asserts_ownership(F.col("t"), F.col("at"), F.col("at") + F.length("term")).alias("owns"), F.col("t").rlike(text.BRANCH_CUES).alias("branch"))
+
+
+@query(r"SELECT conv_id, turn, len(string_split(term, ' ')) >= 2 AND len(w) >= 2 AND len(list_filter(w, lambda x: NOT regexp_matches(x, '^[A-Z]'))) = 0 AS named FROM (SELECT conv_id, turn, term, list_filter(regexp_split_to_array(regexp_extract(text, '(?i)\b' || replace(term, ' ', '[\W_]+') || '\b', 0), '[^A-Za-z]+'), lambda x: x <> '') AS w FROM (SELECT conv_id, turn, text, array_to_string(string_split(t, ' ')[1:2], ' ') AS term FROM (SELECT conv_id, turn, text, " + _WORDS + r" AS t FROM conversations) WHERE t <> ''))")
+def fn15_named_organisations(spark, sf):
+    rows = read(spark, sf, "conversations").withColumn("t", text.normalize_ascii(F.col("text"))).where("t <> ''").withColumn("term", F.array_join(F.slice(F.split("t", " "), 1, 2), " "))
+    return rows.select("conv_id", "turn", F.coalesce(text.named_org(F.col("text"), F.col("term")), F.lit(False)).alias("named"))
+
+
+@query(sql("SELECT verdict, CASE verdict WHEN 'corroborated' THEN '■ Corroborated' WHEN 'claimed_only' THEN '□ Claimed only' WHEN 'insufficient_evidence' THEN '– Insufficient evidence' ELSE '? ' || verdict END AS label, array_to_string(list_transform(string_split(verdict, '_'), lambda w: upper(left(w, 1)) || substring(w, 2)), ' ') AS shown, count(*) AS n FROM (SELECT verdict FROM readiness UNION ALL SELECT 'not_known') GROUP BY verdict", "readiness"))
+def fn21_fn23_labels(spark, sf):
+    rows = readiness_of(spark, sf).select("verdict").union(spark.createDataFrame([("not_known",)], "verdict string"))
+    return rows.groupBy("verdict").agg(F.count("*").alias("n")).select("verdict", text.verdict_label(F.col("verdict")).alias("label"), text.display_name(F.col("verdict")).alias("shown"), "n")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'https://x.org/' || o_orderkey WHEN 2 THEN 'https://a.org,b,' || o_orderkey WHEN 3 THEN '' WHEN 4 THEN 'a,True' ELSE '' END AS urls FROM orders")
+def fn26_url_lists(spark, sf):
+    key = F.col("o_orderkey").cast("string")
+    shapes = [F.lit("no url"), F.concat(F.lit("https://x.org/"), key), F.concat(F.lit('["https://a.org", "b", 0, "", null, '), key, F.lit("]")), F.lit("{}"), F.lit('["a", false, true, []]'), F.lit(None).cast("string")]
+    kind = F.lit(None).cast("string")
+    for k, shape in enumerate(shapes):
+        kind = F.when(F.col("o_orderkey") % 6 == k, shape).otherwise(kind)
+    return read(spark, sf, "orders").select("o_orderkey", F.array_join(text.url_list(kind), ",").alias("urls"))
+
+
+@query(sql("SELECT unique_id, '\"' || name || '\" ' || address_city || CASE WHEN CAST(unique_id AS INTEGER) % 3 = 0 THEN '' ELSE ' ' || address_stateOrRegion END || ' blood bank official' AS q FROM facility", "facility"))
+def fn27_search_queries(spark, sf):
+    state = F.when(F.col("unique_id").cast("int") % 3 == 0, F.when(F.col("unique_id").cast("int") % 2 == 0, "nan")).otherwise(F.col("address_stateOrRegion"))
+    return v.facilities(spark, sf).select("unique_id", text.search_query(F.col("name"), F.col("address_city"), state, F.lit("blood_bank")).alias("q"))
+
+
+@query("SELECT doc_id || '' AS facility_id, CASE g WHEN 0 THEN 'capability' ELSE 'equipment' END AS source_field, CAST(row_number() OVER (PARTITION BY doc_id, g ORDER BY p) - 1 AS INTEGER) AS position, t AS text, sha256(doc_id || '|' || CASE g WHEN 0 THEN 'capability' ELSE 'equipment' END || '|' || (row_number() OVER (PARTITION BY doc_id, g ORDER BY p) - 1) || '|' || t) AS bullet_id FROM (SELECT doc_id, g, p, trim(t, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) AS t FROM (SELECT doc_id, g, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS p FROM documents, (VALUES (0), (1)) AS x(g) WHERE g = 0 OR doc_id % 5 = 0)) WHERE t <> ''")
+def facility_op1_bullets(spark, sf):
+    """Facilities are documents: their lines are the items of one field, of every fifth those of another too, among blank items and numbers."""
+    lines = F.to_json(F.split("text", "\n"))
+    mixed = F.when(F.col("doc_id") % 5 == 0, F.regexp_replace(lines, r"^\[", '[7, "  ", null, ["x"], '))
+    rows = read(spark, sf, "documents").select(F.col("doc_id").alias("unique_id"), lines.alias("capability"), F.lit("not json").alias("procedure"), mixed.alias("equipment"))
+    return explode_bullets(rows).select("facility_id", "source_field", "position", "text", "bullet_id")
+
+
+def _geonames(spark, sf):
+    """Places by names of nations: one near the facilities' box, for every second name another, for every fifth a third one a few km from the first."""
+    n = read(spark, sf, "nation").select("n_nationkey", text.normalize_ascii(F.col("n_name")).alias("name"))
+    place = lambda shift, lat, lon, when: n.where(when).select((F.col("n_nationkey") + shift).cast("long").alias("geoname_id"), "name", (8 + F.col("n_nationkey") * lat % 29).cast("double").alias("latitude"), (68 + F.col("n_nationkey") * lon % 29 + F.lit(shift / 2000)).cast("double").alias("longitude"))
+    places = place(0, 7, 5, "n_nationkey % 7 <> 6").union(place(100, 11, 3, "n_nationkey % 2 = 0")).union(place(200, 7, 5, "n_nationkey % 5 = 0 and n_nationkey % 7 <> 6"))
+    return places, places.select("geoname_id", F.col("name").alias("alias"))
+
+
+_PLACES = """place AS (SELECT n_nationkey AS geoname_id, replace(lower(n_name), '_', ' ') AS name, 8.0::DOUBLE + n_nationkey * 7 % 29 AS plat, 68.0::DOUBLE + n_nationkey * 5 % 29 AS plon FROM nation WHERE n_nationkey % 7 <> 6
+UNION ALL SELECT n_nationkey + 100, replace(lower(n_name), '_', ' '), 8.0::DOUBLE + n_nationkey * 11 % 29, 68.0::DOUBLE + n_nationkey * 3 % 29 + 0.05 FROM nation WHERE n_nationkey % 2 = 0
+UNION ALL SELECT n_nationkey + 200, replace(lower(n_name), '_', ' '), 8.0::DOUBLE + n_nationkey * 7 % 29, 68.0::DOUBLE + n_nationkey * 5 % 29 + 0.1 FROM nation WHERE n_nationkey % 5 = 0 AND n_nationkey % 7 <> 6),
+asked AS (SELECT DISTINCT """ + _NORM_CITY + """ AS alias, latitude, longitude FROM facility),
+ranked AS (SELECT alias, latitude, longitude, geoname_id, plat, plon, km, row_number() OVER w AS r, lead(km) OVER w AS next_km, count(*) OVER (PARTITION BY alias, latitude, longitude) AS n
+FROM (SELECT *, CASE WHEN latitude IS NOT NULL THEN """ + distance_sql("latitude", "longitude", "plat", "plon") + """ END AS km FROM asked JOIN place ON alias = name) WINDOW w AS (PARTITION BY alias, latitude, longitude ORDER BY km NULLS LAST, geoname_id)),
+meant AS (SELECT *, n = 1 OR coalesce(next_km - km >= 25, false) AS clear FROM ranked WHERE r = 1)"""
+
+
+@query(sql("", "facility").rstrip() + f", {_PLACES} SELECT alias, coalesce(round(latitude, 4), -1) AS lat, coalesce(round(longitude, 4), -1) AS lon, CAST(geoname_id AS BIGINT) AS geoname_id, round(km, 5) AS km, NOT clear AS ambiguous FROM meant")
+def jn15_nearest_with_margin(spark, sf):
+    places, aliases = _geonames(spark, sf)
+    asked = v.facilities(spark, sf).select(text.normalize_ascii(F.col("address_city")).alias("alias"), "latitude", "longitude").withColumn("at", F.struct("latitude", "longitude"))
+    rows = provenance.resolve_places(asked, places, aliases, ["at"], lat="latitude", lon="longitude")
+    return rows.select("alias", F.coalesce(F.round("at.latitude", 4), F.lit(-1.0)).alias("lat"), F.coalesce(F.round("at.longitude", 4), F.lit(-1.0)).alias("lon"), "geoname_id", F.round("distance_km", 5).alias("km"), "ambiguous")
+
+
+@query(sql("", "facility").rstrip() + f""", {_PLACES}, kept AS (SELECT DISTINCT geoname_id FROM meant WHERE clear),
+lost AS (SELECT DISTINCT alias FROM (SELECT alias, latitude, longitude FROM asked EXCEPT SELECT alias, latitude, longitude FROM meant WHERE clear)),
+own AS (SELECT alias, -row_number() OVER (ORDER BY alias) AS geoname_id, lat, lon FROM (SELECT {_NORM_CITY} AS alias, median(latitude) AS lat, median(longitude) AS lon FROM facility WHERE latitude IS NOT NULL GROUP BY ALL) WHERE alias IN (SELECT alias FROM lost))
+SELECT CAST(geoname_id AS BIGINT) AS geoname_id, name AS alias, round(plat, 6) AS lat, round(plon, 6) AS lon, name NOT IN (SELECT alias FROM own) AS named FROM place WHERE geoname_id IN (FROM kept) UNION ALL SELECT geoname_id, alias, round(lat, 6), round(lon, 6), true FROM own""")
+def facility_op3_restricted_gazetteer(spark, sf):
+    """Each place with its name, and whether the name still means it."""
+    places, aliases = provenance.restrict_gazetteer(*_geonames(spark, sf), v.facilities(spark, sf))
+    rows = places.join(aliases.select("geoname_id", F.lit(True).alias("named")), "geoname_id", "left")
+    return rows.select("geoname_id", F.col("name").alias("alias"), F.round("latitude", 6).alias("lat"), F.round("longitude", 6).alias("lon"), F.coalesce("named", F.lit(False)).alias("named"))
+
+
+_TERMS = ["license", "mit license", "all rights reserved.", "(c)", "#", "the"]
+
 
+@query(sql("SELECT bullet_id, phrase FROM (SELECT bullet_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM bullet), (VALUES " + ", ".join(f"('{t}', '{e}')" for t, e in zip(_TERMS, ("license", "mit license", "all rights reserved\\.", "\\(c\\)", "#", "the"))) + ") AS w(phrase, quoted) WHERE regexp_matches(t, '(^|[^\\p{L}\\p{N}])' || quoted || '($|[^\\p{L}\\p{N}])')", "bullet"))
+def jn12_bounded_substrings(spark, sf):
+    vocabulary = spark.createDataFrame([(t,) for t in _TERMS], "phrase string")
+    return phrases.bounded_substrings(v.bullets(spark, sf).select("bullet_id", text.squeeze(F.col("text")).alias("t")), vocabulary, "bullet_id", "t")
 
-@query()
+
+_SHARED = "(SELECT text_norm FROM bullet WHERE length(text_norm) >= 80 AND len(string_split(text_norm, ' ')) >= 10 GROUP BY text_norm HAVING count(DISTINCT facility_id) > 1)"
+
+
+@query(sql(f"SELECT bullet_id, CASE WHEN text_norm IN {_SHARED} THEN 'review' ELSE 'consistent_or_no_conflict' END AS status, CASE WHEN text_norm IN {_SHARED} THEN 'detailed_cross_facility_duplicate' ELSE '' END AS reasons FROM bullet WHERE facility_id IN (SELECT unique_id FROM facility)", "bullet", "facility"))
 def facility_op4_audit_bullets(spark, sf):
+    """The texts name no other facility and no city, so what several facilities share is all there is to find; the other reasons are in the tests."""
     bullets, facilities = v.bullets(spark, sf), v.facilities(spark, sf)
     named = facilities.select(F.col("unique_id").alias("facility_id"), F.col("name").alias("facility_name"), F.col("address_city").alias("facility_city"), F.col("latitude").alias("facility_latitude"), F.col("longitude").alias("facility_longitude"))
     places, aliases = provenance.city_gazetteer(facilities)
     return provenance.audit_bullets(bullets.join(named, "facility_id"), places, aliases, provenance.org_index(facilities)).select("bullet_id", "status", F.array_join("reason_codes", ",").alias("reasons"))
 
 
+_RULES = [{"capability_id": "licensing", "claims": ["license", "named_license"], "required": "released", "message": "licence without a release"}, {"capability_id": "language", "claims": ["german"], "required": "spanish", "message": "one language only"}]
+
+
+@query(sql("SELECT facility_id, capability_id, CASE WHEN capability_id = 'licensing' AND list_has_any(t, ['license', 'named_license']) AND NOT list_contains(t, 'released') THEN 'licence without a release' WHEN capability_id = 'language' AND list_contains(t, 'german') AND NOT list_contains(t, 'spanish') THEN 'one language only' ELSE '' END AS flags FROM (SELECT facility_id, capability_id, list(DISTINCT tracer_id) AS t FROM mapped WHERE NOT exclude_from_scoring GROUP BY ALL)", "mapped"))
+def ag6_contradictions(spark, sf):
+    counts = v.bullets(spark, sf).groupBy("facility_id").agg(F.count("*").alias("n_bullets"))
+    rows = readiness.readiness(mapped(spark, sf), v.bullets(spark, sf).select("facility_id"), mapping.domain_totals(spark, v.RULES), counts, _RULES)
+    return rows.where("distinct_tracer_count > 0").select("facility_id", "capability_id", F.array_join("contradiction_flags", ",").alias("flags"))
+
+
+@query(sql("SELECT count(*) AS n_applicable FROM (SELECT facility_id, capability_id, list(DISTINCT tracer_id) AS t FROM mapped WHERE NOT exclude_from_scoring GROUP BY ALL) WHERE (capability_id = 'licensing' AND list_has_any(t, ['license', 'named_license'])) OR (capability_id = 'language' AND list_contains(t, 'german'))", "mapped"))
+def ag9_contradiction_applicable(spark, sf):
+    return readiness.contradiction_applicable(mapped(spark, sf), _RULES)
+
+
+@query(
+    sql("", "readiness", "facility").rstrip()
+    + _RANKED.format(km=_KM, order=_ORDERS["best"]).rsplit("\nSELECT facility_id", 1)[0]
+    + """, top AS (SELECT facility_id, verdict FROM base, band WHERE b IS NULL OR km <= b ORDER BY ev DESC, CASE WHEN ev THEN comp END DESC, km, facility_id LIMIT 20)
+SELECT facility_id, CASE verdict WHEN 'corroborated' THEN '■ Corroborated' WHEN 'claimed_only' THEN '□ Claimed only' ELSE '– Insufficient evidence' END AS label,
+(SELECT coalesce(string_agg(domain, ',' ORDER BY domain), '') FROM domain_score d WHERE d.facility_id = top.facility_id AND capability_id = 'licensing' AND score = 0) AS gaps,
+(SELECT count(DISTINCT domain) FROM mapped m WHERE m.facility_id = top.facility_id AND capability_id = 'licensing')::INTEGER AS n_domains,
+(SELECT count(*) FROM mapped m WHERE m.facility_id = top.facility_id AND capability_id = 'licensing' AND NOT exclude_from_scoring) AS n_accepted FROM top"""
+)
+def facility_op17_cards(spark, sf):
+    ranked = search.rank_candidates(readiness_of(spark, sf), v.facilities(spark, sf), "licensing", LAT, LON)
+    bullets = v.bullets(spark, sf).select("bullet_id", F.col("text_norm").alias("text"))
+    accepted = F.aggregate(F.coalesce("evidence", F.expr("array()")), F.lit(0).cast("long"), lambda n, d: n + F.size(d["accepted"]))
+    rows = search.cards(ranked, mapped(spark, sf), bullets)
+    return rows.select("facility_id", "label", F.array_join("gaps", ",").alias("gaps"), F.coalesce(F.size("evidence"), F.lit(0)).alias("n_domains"), F.coalesce(accepted, F.lit(0)).cast("long").alias("n_accepted"))
+
+
+# --- pre-flight checks, corroboration, archived answers ---
+
+_CITIES = ["license", "the", "para", "und"]
+_ORGS = ["mit license", "of the", "42", "dans"]
+
+
+def _named_places(spark):
+    return spark.createDataFrame([(str(k), c, o) for k, (c, o) in enumerate(zip(_CITIES, _ORGS))], "unique_id string, address_city string, name string")
+
+
+@query(sql("""SELECT facility_id, coalesce(string_agg(phrase, ',' ORDER BY phrase) FILTER (WHERE kind = 'city'), '') AS cities, coalesce(string_agg(phrase, ',' ORDER BY phrase) FILTER (WHERE kind = 'org'), '') AS orgs,
+bool_or((kind = 'city' AND NOT regexp_matches(phrase, '[0-9]')) OR (kind = 'org' AND contains(phrase, ' '))) AS strong FROM (SELECT DISTINCT facility_id, kind, phrase FROM (SELECT facility_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM bullet WHERE facility_id IN ('0', '1', '2', '3')),
+(VALUES """ + ", ".join(f"('{k}', '{kind}', '{w}')" for kind, words in (("city", _CITIES), ("org", _ORGS)) for k, w in enumerate(words) if len(w) >= 3) + """) AS w(own, kind, phrase) WHERE own <> facility_id AND regexp_matches(t, '(^|[^\\p{L}\\p{N}])' || phrase || '($|[^\\p{L}\\p{N}])')) GROUP BY facility_id""", "bullet"))
+def facility_op18_contamination_scan(spark, sf):
+    """Four facilities whose cities and names are words of the texts."""
+    rows = review.contamination_scan(v.bullets(spark, sf).where("facility_id in ('0', '1', '2', '3')"), _named_places(spark))
+    return rows.select("facility_id", F.array_join("cities", ",").alias("cities"), F.array_join("orgs", ",").alias("orgs"), "strong")
+
+
+_ARRAYS = "SELECT doc_id, lang AS name, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE to_json(string_split(text, chr(10))[1:3]) END AS l, CASE WHEN doc_id % 5 = 0 THEN '[]' ELSE to_json(string_split(text, ' ')[1:doc_id % 6]) END AS r FROM documents"
+
+
+def _two_arrays(spark, sf):
+    lines, words = F.slice(F.split("text", "\n"), 1, 3), F.slice(F.split("text", " "), F.lit(1), (F.col("doc_id") % 6).cast("int"))
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("unique_id"), F.col("lang").alias("name"), F.when(F.col("doc_id") % 4 != 0, F.to_json(lines)).alias("l"), F.when(F.col("doc_id") % 5 == 0, "[]").otherwise(F.to_json(words)).alias("r"))
+
+
+@query(f"WITH a AS (SELECT doc_id, name, from_json(l, '[\"VARCHAR\"]') AS l, from_json(r, '[\"VARCHAR\"]') AS r FROM ({_ARRAYS})), s AS (SELECT * FROM a WHERE len(l) > 0 AND len(r) > 0 ORDER BY md5('42|' || doc_id) LIMIT 30) SELECT CAST(row_number() OVER (ORDER BY md5('43|' || doc_id)) AS INTEGER) AS place, doc_id AS unique_id, CAST(len(l) AS INTEGER) AS n_left, CAST(len(r) AS INTEGER) AS n_right, array_to_string(list_transform(range(greatest(len(l), len(r))), lambda i: i || ':' || coalesce(l[i + 1], '-') || '/' || coalesce(r[i + 1], '-')), ' ') AS pairs FROM s")
+def facility_op19_alignment(spark, sf):
+    rows = review.alignment_report(_two_arrays(spark, sf), "l", "r")
+    shown = F.transform("pairs", lambda p: F.concat(p["index"].cast("string"), F.lit(":"), F.coalesce(p["left"], F.lit("-")), F.lit("/"), F.coalesce(p["right"], F.lit("-"))))
+    return rows.select("place", "unique_id", "n_left", "n_right", F.array_join(shown, " ").alias("pairs"))
+
+
+@query(f"SELECT b AS bucket, coalesce(n, 0) AS n, round(100.0 * coalesce(n, 0) / (SELECT count(*) FROM documents), 1)::DOUBLE AS pct FROM (VALUES ('1'), ('2-4'), ('5+')) AS x(b) LEFT JOIN (SELECT CASE WHEN k <= 1 THEN '1' WHEN k <= 4 THEN '2-4' ELSE '5+' END AS b, count(*) AS n FROM (SELECT coalesce(len(list_distinct(from_json(r, '[\"VARCHAR\"]'))), 0) AS k FROM ({_ARRAYS})) GROUP BY ALL) USING (b)")
+def ag23_source_histogram(spark, sf):
+    return review.source_histogram(_two_arrays(spark, sf), "r")
+
+
+@query("WITH s AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'strong' ELSE 'weak' END AS stratum FROM orders), d AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY md5('42|' || o_orderkey)) <= CASE stratum WHEN 'strong' THEN 18 ELSE 7 END) SELECT o_orderkey, stratum, CAST(row_number() OVER (ORDER BY md5('43|' || o_orderkey)) AS INTEGER) AS place FROM d")
+def wn7_seeded_sample(spark, sf):
+    strong = F.col("o_orderstatus") == "F"
+    return review.sample_rows(read(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), {"strong": (strong, 18), "weak": (~strong, 7)}, 42, "o_orderkey").select("o_orderkey", "stratum", "place")
+
+
+@query("SELECT count(*) AS n_sampled, count(*) FILTER (WHERE o) AS obvious, count(*) FILTER (WHERE NOT o) AS borderline, count(*) FILTER (WHERE g) AS genuine, count(*) FILTER (WHERE o AND g) AS obvious_confirmed, count(*) FILTER (WHERE o AND NOT g) AS obvious_rejected, count(*) FILTER (WHERE NOT o AND g) AS borderline_confirmed, count(*) FILTER (WHERE NOT o AND NOT g) AS borderline_rejected, round(count(*) FILTER (WHERE o AND g) / count(*) FILTER (WHERE o), 3) AS precision, round(count(*) FILTER (WHERE o AND g) / count(*) FILTER (WHERE g), 3) AS recall FROM (SELECT contains(text, '!') AS o, toxic = 1 AS g FROM labels JOIN documents USING (doc_id))")
+def ag30_bucket_agreement(spark, sf):
+    scanned = read(spark, sf, "documents").select(F.col("doc_id").alias("unique_id"), F.col("text").contains("!").alias("obvious"))
+    return review.bucket_agreement(scanned, read(spark, sf, "labels").select(F.col("doc_id").alias("unique_id"), (F.col("toxic") == 1).alias("genuine")))
+
+
+@query(sql("SELECT facility_id, capability_id, '\"' || name || '\" ' || address_city || ' ' || address_stateOrRegion || ' ' || capability_id || ' official' AS query, CASE WHEN i % 3 = 1 THEN 'unverified' WHEN i % 2 = 0 THEN 'corroborated' ELSE 'unverified' END AS status, CASE WHEN i % 3 <> 1 AND i % 2 = 0 THEN 'https://gov.example/' || length('\"' || name || '\" ' || address_city || ' ' || address_stateOrRegion || ' ' || capability_id || ' official') ELSE '' END AS source_url, CASE WHEN i % 3 = 1 THEN 'failed safely: ValueError' WHEN i % 2 = 0 THEN 'found' ELSE 'the quote does not stand in the source' END AS reason, 3 AS known_source_count FROM (SELECT *, CAST(facility_id AS INTEGER) AS i FROM (SELECT DISTINCT facility_id, capability_id FROM mapped) JOIN facility ON facility_id = unique_id WHERE capability_id = 'licensing')", "mapped", "facility"))
+def facility_op20_corroboration(spark, sf):
+    """The loop with a search that fails for every third facility and an extractor that invents its quote for odd ones."""
+    places = v.facilities(spark, sf).withColumn("officialWebsite", F.lit("https://own.example")).withColumn("websites", F.lit('["own.example", "https://facebook.com/x"]')).withColumn("source_urls", F.lit(None).cast("string"))
+    pairs = mapped(spark, sf).where("capability_id = 'licensing'").select("facility_id", "capability_id").distinct().join(places.select(F.col("unique_id").alias("facility_id")), "facility_id")
+
+    def find(asked: str) -> list[dict]:
+        return [{"url": f"https://gov.example/{len(asked)}", "content": f"The text says {asked}.", "source_tier": "A_government_or_registry"}]
+
+    def extract(row: dict, sources: list[dict]) -> dict:
+        if int(row["facility_id"]) % 3 == 1:
+            raise ValueError("no answer")
+        quote = "The text says" if int(row["facility_id"]) % 2 == 0 else "invented"
+        return {"status": "corroborated", "exact_quote": quote, "source_url": sources[0]["url"], "source_tier": sources[0]["source_tier"], "reason": "found", "facility_identity_match": True}
+
+    rows = review.corroborate(review.prepare_corroboration(pairs, places), None, find, extract)
+    return rows.select("facility_id", "capability_id", "query", "status", "source_url", "reason", "known_source_count")
+
+
+@query(sql("SELECT b.bullet_id, 'licensing' AS capability_id, 'license' AS tracer_id, 'the' AS supporting_quote, f.status AS provenance_status FROM bullet b JOIN flag f USING (bullet_id) WHERE contains(b.text_norm, 'the') AND position % 2 = 0", "bullet", "flag"))
+def facility_op21_archived_answers(spark, sf):
+    """Answers of a model to batches of distinct texts: true ones, a place beyond the batch, an unknown tracer, a quote that isn't in its text."""
+    bullets = v.bullets(spark, sf).where("position % 2 = 0").withColumn("text", F.col("text_norm"))
+    texts = bullets.where("text <> ''").select("text").distinct().withColumn("g", F.pmod(F.xxhash64("text"), F.lit(64)))
+    batches = texts.groupBy("g").agg(F.array_sort(F.collect_list("text")).alias("batch"))
+    match = lambda tracer, quote: f'{{"capability_id": "licensing", "domain": "staff", "tracer_id": "{tracer}", "supporting_quote": "{quote}"}}'
+    said = F.array_join(F.transform("batch", lambda t, i: F.concat(F.lit('"'), i.cast("string"), F.lit(f'": [{match("license", "the")}, {match("unknown", "the")}, {match("license", "never said so")}]'))), ", ")
+    answers = batches.select(F.col("g").alias("batch_id"), "batch", F.concat(F.lit("Here it is: {"), said, F.lit(f', "100000": [{match("license", "the")}], "x": []}} and no more')).alias("raw"))
+    found = review.validated_answers(answers, mapping.rule_table(spark, v.RULES))
+    return review.answers_to_bullets(found, bullets, v.flags(spark, sf), "archived").select("bullet_id", "capability_id", "tracer_id", "supporting_quote", "provenance_status")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Facilities with evidence for a capability within the tightest adequate band, best first."""
     return _ranked("best")(spark, sf)

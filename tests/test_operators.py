@@ -175,17 +175,51 @@ def test_shortlist(spark, tmp_path):
 
 
 def test_corroboration(spark):
-    asked = spark.createDataFrame([("f1", "icu", "k1", "we have 10 beds", "u"), ("f2", "icu", "k2", "nothing", "u"), ("f3", "icu", "k3", "x", "u")], "facility_id string, capability_id string, cache_key string, source_text string, source_url string")
-    cache = spark.createDataFrame([("k3", "yes", "q", "u", None)], "cache_key string, answer string, quote string, source_url string, error string")
-
-    def client(r):
-        if r["cache_key"] == "k2":
-            raise RuntimeError("down")
-        return {"answer": "yes", "quote": "10 beds"}
-
-    got = {r.cache_key: r for r in review.corroborate(asked, cache, client).collect()}
-    assert (got["k1"].answer, got["k2"].answer, got["k3"].answer) == ("yes", "unverified", "yes") and "down" in got["k2"].error
-    assert {r.error for r in review.corroborate(asked, None, None).collect()} == {"dry run"}
+    f = spark.createDataFrame(
+        [("f1", "Sun Care", "Pune", "MH", "https://sun.example", '["sun.example/a", "facebook.com/sun", 0, null]', "https://sun.example"), ("f2", "Moon", None, "nan", None, None, "plain"), ("f3", "Star", "Goa", "GA", "", "[]", None)],
+        "unique_id string, name string, address_city string, address_stateOrRegion string, officialWebsite string, websites string, source_urls string",
+    )
+    pairs = spark.createDataFrame([("f1", "blood_bank"), ("f2", "icu"), ("f3", "icu")], "facility_id string, capability_id string")
+    asked = review.prepare_corroboration(pairs, f)
+    by = {r.facility_id: r for r in asked.collect()}
+    assert [(x.url, x.source_tier) for x in by["f1"].sources] == [("https://sun.example", "A_official_facility"), ("https://sun.example/a", "A_official_facility"), ("https://facebook.com/sun", "D_directory_or_social")]
+    assert by["f1"].query == '"Sun Care" Pune MH blood bank official' and by["f2"].query == '"Moon" icu official' and by["f2"].known_source_count == 0
+
+    def find(query):
+        if "Moon" in query:
+            raise OSError("down")
+        return [{"url": "https://x.gov.in", "content": "we have 10 beds", "source_tier": "A_government_or_registry"}, {"url": "https://sun.example", "content": "later entry"}]
+
+    def extract(row, sources):
+        assert [s["source_tier"] for s in sources] == sorted(s["source_tier"] for s in sources)
+        quote = "10 beds" if row["facility_id"] == "f1" else "invented"
+        return {"status": "corroborated", "exact_quote": quote, "source_url": "https://x.gov.in", "source_tier": "A_government_or_registry", "reason": "r", "facility_identity_match": True}
+
+    rows = review.corroborate(asked, None, find, extract).cache()
+    got = {r.facility_id: r for r in rows.collect()}
+    assert (got["f1"].status, got["f1"].exact_quote, got["f1"].known_source_count, got["f1"].fresh) == ("corroborated", "10 beds", 4, True)
+    assert (got["f2"].status, got["f2"].reason) == ("unverified", "failed safely: OSError")
+    assert (got["f3"].status, got["f3"].exact_quote, got["f3"].facility_identity_match) == ("unverified", "", None)
+    again = {r.facility_id: r for r in review.corroborate(asked, rows.where("facility_id <> 'f3'"), find, extract).collect()}
+    assert [again[k].fresh for k in ("f1", "f2", "f3")] == [False, False, True] and again["f1"].exact_quote == "10 beds"
+    assert all(r.fresh for r in review.corroborate(asked, rows, find, extract, refresh=True).collect())
+    dry = review.corroborate(asked, None, None, None)
+    assert {(r.status, r.fresh) for r in dry.collect()} == {("dry_run", False)}
+    one = review.corroboration_summary(rows, pairs).first()
+    assert (one.pairs_available, one.pairs_selected, one.fresh_pairs, one.status_counts) == (3, 3, 3, {"corroborated": 1, "unverified": 2})
+
+
+def test_archived_answers(spark):
+    rules = mapping.rule_table(spark, RULES)
+    match = lambda tracer, quote: {"capability_id": "icu", "domain": "staff", "tracer_id": tracer, "supporting_quote": quote}
+    said = {"0": [match("icu_service", "ICU"), match("nope", "ICU"), match("icu_service", "absent"), match("icu_service", "")], "1": None, "7": [match("icu_service", "bed")], "x": []}
+    rows = [(1, ["an ICU", "two"], "Sure: " + json.dumps(said) + " done"), (2, ["two"], "no answer"), (3, ["old"], json.dumps({"0": [match("icu_service", "old")]})), (4, ["old"], json.dumps({"0": []}))]
+    found = review.validated_answers(spark.createDataFrame(rows, "batch_id int, batch array<string>, raw string"), rules)
+    assert [tuple(r) for r in found.collect()] == [("an ICU", "icu", "staff", "icu_service", "ICU")]
+    bullets = spark.createDataFrame([("b1", "f", "capability", "an ICU"), ("b2", "f", "capability", "an ICU"), ("b3", "f", "capability", "two")], "bullet_id string, facility_id string, source_field string, text string")
+    flags = spark.createDataFrame([("b1", "review", False)], "bullet_id string, status string, exclude_from_scoring boolean")
+    got = review.answers_to_bullets(found, bullets, flags, "m")
+    assert sorted((r.bullet_id, str(r.provenance_status), r.llm_model) for r in got.collect()) == [("b1", "review", "m"), ("b2", "None", "m")]
 
 
 def test_preflight(spark):
@@ -199,6 +233,111 @@ def test_preflight(spark):
     assert [tuple(r)[1:] for r in review.aligned(pairs, "id", "l", "r").orderBy("position").collect()] == [(0, "a", "x"), (1, "b", None)]
 
 
+def test_phrases_of_long_texts_and_chunk_borders(spark, monkeypatch):
+    """Against str.find; and a text of 200,000 words."""
+    import random
+
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("a b ab c".split()) for _ in range(n)) for n in (0, 1, 5, 63, 64, 65, 130, 300)] + ["a  b", " a b "]
+    vocabulary = ["a", "a b", "b a b", "a a", "ab c a b", "x"]
+    t, p = spark.createDataFrame(list(enumerate(texts)), "id int, text_norm string"), spark.createDataFrame([(x,) for x in vocabulary], "phrase string")
+    want = {(i, x, k, k + len(x)) for i, s in enumerate(texts) for x in vocabulary for k in range(len(s)) if f" {s} "[k : k + len(x) + 2] == f" {x} "}
+    for chunk in (64, 3):
+        monkeypatch.setattr(phrases, "CHUNK", chunk)
+        assert {tuple(r) for r in phrases.find_phrases(t, p, "id").collect()} == want
+    monkeypatch.undo()
+    long = spark.range(1).selectExpr("id", "concat(repeat('lorem ipsum ', 100000), 'a b') as text_norm")
+    assert [(r.phrase, r.start) for r in phrases.find_phrases(long, spark.createDataFrame([("a b",), ("ipsum a b",)], "phrase string"), "id").orderBy("start").collect()] == [("ipsum a b", 1199994), ("a b", 1200000)]
+
+
+def test_raw_search_counts_texts_as_written(spark):
+    b = spark.createDataFrame(
+        [("f", "b9", "capability", 0, "Has ICU", "has icu"), ("f", "b1", "equipment", 0, "Has ICU", "has icu"), ("f", "b2", "capability", 1, "has icu!", "has icu"), ("f", "b3", "procedure", 0, "icu x", "icu x"), ("f", "b0", "other", 0, "no", "no")],
+        "facility_id string, bullet_id string, source_field string, position int, text string, text_norm string",
+    )
+    f = spark.createDataFrame([("f", "F", 20.0, 80.0)], "unique_id string, name string, latitude double, longitude double")
+    got = search.search_raw(b, f, ["icu"], 20.0, 80.0).first()
+    assert got.raw_match_count == 3 and [(x.bullet_id, x.source_field, x.text) for x in got.items] == [("b9", "capability", "Has ICU"), ("b2", "capability", "has icu!"), ("b3", "procedure", "icu x")]
+
+
+def test_gazetteer_by_each_facility(spark):
+    """One name in two states keeps both places; a city without coordinates has its only place; an ambiguous one falls back on its own position."""
+    places = spark.createDataFrame([(1, "Aurangabad", 19.9, 75.3), (2, "Aurangabad", 24.8, 84.4), (3, "Solo", 10.0, 70.0), (4, "Twin", 12.0, 72.0), (5, "Twin", 12.1, 72.0), (6, "Unused", 1.0, 1.0)], "geoname_id long, name string, latitude double, longitude double")
+    aliases = places.selectExpr("geoname_id", "lower(name) as alias").union(spark.createDataFrame([(1, "sambhajinagar")], "geoname_id long, alias string"))
+    f = facilities(spark, [(str(k), "n", city, "s", lat, lon, None, None, None) for k, (city, lat, lon) in enumerate([("Aurangabad", 19.8, 75.2), ("Aurangabad", 24.7, 84.3), ("Solo", None, None), ("Twin", 12.0, 72.1), ("Twin", 12.2, 72.1), ("Zed", 5.0, 5.0), ("Lost", None, None)])])
+    got, names = provenance.restrict_gazetteer(places, aliases, f)
+    assert {(r.geoname_id, r.name, r.latitude) for r in got.collect()} == {(1, "Aurangabad", 19.9), (2, "Aurangabad", 24.8), (3, "Solo", 10.0), (-1, "twin", 12.1), (-2, "zed", 5.0)}
+    assert {(r.geoname_id, r.alias) for r in names.collect()} == {(1, "aurangabad"), (1, "sambhajinagar"), (2, "aurangabad"), (3, "solo"), (-1, "twin"), (-2, "zed")}
+
+
+def test_nearest_city_against_all_pairs(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    spot = lambda: (rng.uniform(-89, 89), rng.uniform(-180, 180))
+    centres = [spot() for _ in range(40)] + [(0.1, 179.9), (0.0, -179.8), (89.5, 10.0), (20.0, 70.0), (20.2, 70.1)]
+    spots = [spot() for _ in range(120)] + [(0.0, 180.0), (88.9, -170.0), (20.1, 70.0), (-89.9, 0.0)]
+    stats = spark.createDataFrame([(f"c{k}", "s", a, b) for k, (a, b) in enumerate(centres)], "display_city string, state string, lat double, lon double")
+    f = spark.createDataFrame([(k, a, b, 100.0) for k, (a, b) in enumerate(spots)] + [(999, 1.0, 1.0, 3.0), (998, None, 1.0, 100.0)], "unique_id int, latitude double, longitude double, geo_mismatch_km double")
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return 2 * 6371.0088 * math.asin(min(1, math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    got = {r.unique_id: r for r in search.nearest_city(f, stats).collect()}
+    assert set(got) == set(range(len(spots)))
+    for k, (a, b) in enumerate(spots):
+        assert got[k].nearest_km == pytest.approx(min(km(a, b, c, d) for c, d in centres))
+
+
+def test_small_sources_and_sinks(spark, tmp_path, monkeypatch):
+    import os
+    import zipfile
+
+    line = "\t".join(["7", "Půne", "Pune", "Poona,X", "18.5", "73.9", "P", "PPL", "IN", "", "MH", "", "", "", "1", "", "", "", "2020"])
+    with zipfile.ZipFile(tmp_path / "IN.zip", "w") as z:
+        z.writestr("readme.txt", "not this")
+        z.writestr("IN.txt", line + "\n")
+    places, aliases = tables.read_geonames(spark, str(tmp_path / "IN.zip"))
+    assert [r.name for r in places.collect()] == ["Půne"] and {r.alias for r in aliases.collect()} == {"pune", "poona"}
+    (tmp_path / "cache.jsonl").write_text('{"cache_key":"a","v":1,"cached_at_epoch":2.0}\n{"cache_key":"a","v":2,"cached_at_epoch":2.0}\n{"cache_key":"a","v":3,"cached_at_epoch":null}\n{"cache_key":"b","v":4,"cached_at_epoch":null}\n')
+    assert sorted(tuple(r)[0:1] + (r.v,) for r in tables.read_latest(spark, str(tmp_path / "cache.jsonl")).collect()) == [("a", 2), ("b", 4)]
+    calls = []
+    fetch = lambda url: calls.append(url) or b"data"
+    for _ in range(2):
+        assert open(tables.fetch_once("http://x", str(tmp_path / "d" / "f"), fetch), "rb").read() == b"data"
+    assert calls == ["http://x"]
+    (tmp_path / ".env").write_text("# c\n\nFACTLOOM_A = 'one'\nFACTLOOM_B=two\nno sign\n")
+    monkeypatch.setenv("FACTLOOM_B", "kept")
+    monkeypatch.delenv("FACTLOOM_A", raising=False)
+    assert tables.read_env(str(tmp_path / ".env")) == {"FACTLOOM_A": "one"} and os.environ["FACTLOOM_B"] == "kept" and tables.read_env(str(tmp_path / "none")) == {}
+    monkeypatch.delenv("FACTLOOM_A")
+    assert tables.create_table(spark, str(tmp_path / "t"), "a int") and not tables.create_table(spark, str(tmp_path / "t"), "a int") and spark.read.parquet(str(tmp_path / "t")).columns == ["a"]
+    tables.write_metrics(spark.createDataFrame([(1, "x")], "n int, s string"), str(tmp_path / "m.json"))
+    assert json.loads((tmp_path / "m.json").read_text()) == {"n": 1, "s": "x"}
+    tables.append_json(spark.createDataFrame([(1,)], "n int"), str(tmp_path / "j"))
+    tables.append_json(spark.createDataFrame([(2,)], "n int"), str(tmp_path / "j"))
+    assert sorted(r.n for r in spark.read.json(str(tmp_path / "j")).collect()) == [1, 2]
+    (tmp_path / "doc.json").write_text('{"a": 1}')
+    assert tables.read_document(str(tmp_path / "doc.json")) == {"a": 1}
+    spark.range(3).write.parquet(str(tmp_path / "tab"))
+    size = tables.build_bundle(spark, ["m.json", "d/f"], {"tab": (str(tmp_path / "tab"), "id")}, str(tmp_path), str(tmp_path / "bundle"))
+    assert size > 0 and (tmp_path / "bundle" / "d" / "f").read_bytes() == b"data" and spark.read.parquet(str(tmp_path / "bundle" / "data" / "tab")).count() == 3
+    with pytest.raises(FileNotFoundError):
+        tables.build_bundle(spark, ["missing"], {}, str(tmp_path), str(tmp_path / "bundle"))
+    assert (tmp_path / "bundle" / "m.json").exists()
+    spark.range(2).write.mode("overwrite").saveAsTable("factloom_scan_test")
+    assert tables.scan_table(spark, "factloom_scan_test").count() == 2
+    spark.sql("drop table factloom_scan_test")
+
+
+def test_back_references_in_rules(spark):
+    rules = [{"ord": 0, "capability_id": "icu", "domain": "staff", "tracer_id": "t", "pattern": r"(\w)\1", "excludes": [], "contexts": [], "source_fields": []}]
+    got = mapping.match_texts(spark.createDataFrame([("no aa",), ("see bb",), ("xy",)], "text string"), rules).collect()
+    assert {(r.text, r.supporting_quote) for r in got} == {("see bb", "ee")}
+
+
 def test_sources(spark, tmp_path):
     line = "\t".join(["7", "Půne", "Pune", "Poona,X", "18.5", "73.9", "P", "PPL", "IN", "", "MH", "", "", "", "1", "", "", "", "2020"])
     (tmp_path / "IN.txt").write_text(line + "\nshort\trow\n" + line.replace("\tP\t", "\tH\t") + "\n")
