@@ -24,10 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import column, scratch_path, slices, text_or_empty, written
+from factloom.llm.common import SMALL_BUFFERS, column, scratch_path, slices, text_or_empty, written
 from factloom.llm.tokens import default_path, tokenizer_at
 
-LENGTH, PER_SHARD, END, KEY, ROUNDS = 2048, 4096, 49407, 20_240_229, 6
+LENGTH, PER_SHARD, END, KEY, ROUNDS = 2048, 2048, 49407, 20_240_229, 6
+#: Bytes of text that a task encodes, and records that it hands on, at once.
+SLICE, STEP = 4 << 20, 256
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -54,65 +56,69 @@ def permute(i: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
-    """Rows (part, i, n_tokens, ids, doc_ids): sequence i of input partition `part`; ids holds all `length` ids, n_tokens of them real."""
+def sequences(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END, packed: bool = False) -> DataFrame:
+    """Rows (part, i, n_tokens, ids, doc_ids): sequence i of input partition `part`; ids holds all `length` ids (compressed if packed), n_tokens of them real."""
     path = tokenizer or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer_at(path)
+        pack = zstandard.ZstdCompressor(level=3).compress if packed else bytes
         part, done = TaskContext.get().partitionId(), 0
-        rest, rest_ids = np.zeros(0, dtype=tok.dtype), np.zeros(0, dtype=np.int64)  # ids left over, and the row of each
-        rows: list[int | None] = []
+        rest = np.zeros(0, dtype=tok.dtype)
+        rows: list[int | None] = []  # the documents of the ids not yet cut
+        ends = np.zeros(0, dtype=np.int64)  # where each of them ends
 
-        def cut(flat: np.ndarray, row: np.ndarray, real: int) -> pa.RecordBatch:
+        def cut(flat: np.ndarray, real: int) -> pa.RecordBatch:
             nonlocal done
             n = len(flat) // length
-            owners = [[rows[r] for r in range(a[0], a[-1] + 1)] for a in row[: n * length].reshape(n, length)[:, [0, -1]].tolist()]
-            left = np.minimum(length, np.maximum(0, real - np.arange(n) * length))
+            starts = np.arange(n) * length
+            left = np.minimum(length, real - starts)
+            first, last = np.searchsorted(ends, starts, side="right"), np.searchsorted(ends, starts + left - 1, side="right")
             raw = flat[: n * length].astype(f"<u{flat.dtype.itemsize}").tobytes()
             step = length * flat.dtype.itemsize
             out = pa.RecordBatch.from_arrays(
-                [pa.array([part] * n, pa.int32()), pa.array(done + np.arange(n)), pa.array(left.astype(np.int32)), pa.array([raw[step * k : step * (k + 1)] for k in range(n)], pa.binary()), pa.array(owners, pa.list_(pa.int64()))],
+                [pa.array([part] * n, pa.int32()), pa.array(done + np.arange(n)), pa.array(left.astype(np.int32)), pa.array([pack(raw[step * k : step * (k + 1)]) for k in range(n)], pa.binary()), pa.array([rows[a : b + 1] for a, b in zip(first.tolist(), last.tolist())], pa.list_(pa.int64()))],
                 names=["part", "i", "n_tokens", "ids", "doc_ids"],
             )
             done += n
             return out
 
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches, most=SLICE):
             flat, counts = tok.encode_many(column(batch, "text"))
             stops = np.cumsum(counts + 1)
             stream = np.full(int(stops[-1]), end, dtype=tok.dtype)
             keep = np.ones(len(stream), dtype=bool)
             keep[stops - 1] = False
             stream[keep] = flat
-            base = int(rest_ids[0]) if len(rest_ids) else len(rows)
-            del rows[:base]
-            rest_ids -= base
-            owner = np.repeat(np.arange(len(counts)) + len(rows), counts + 1)
             rows += column(batch, "doc_id").to_pylist()
-            stream, owner = np.concatenate([rest, stream]), np.concatenate([rest_ids, owner])
+            ends = np.concatenate([ends, len(rest) + stops])
+            stream = np.concatenate([rest, stream])
             whole = len(stream) // length * length
-            if whole:
-                yield cut(stream[:whole], owner[:whole], whole)
-            rest, rest_ids = stream[whole:], owner[whole:]
+            for at in range(0, whole, STEP * length):
+                some = min(whole - at, STEP * length)
+                yield cut(stream[at : at + some], some)
+                ends -= some
+                over = int(np.searchsorted(ends, 0, side="right"))
+                del rows[:over]
+                ends = ends[over:]
+            rest = stream[whole:]
+            pa.default_memory_pool().release_unused()  # two workers share an executor's memory with the JVM
         if len(rest):
-            fill = length - len(rest)
-            yield cut(np.concatenate([rest, np.full(fill, end, dtype=tok.dtype)]), np.concatenate([rest_ids, np.full(fill, rest_ids[-1])]), len(rest))
+            yield cut(np.concatenate([rest, np.full(length - len(rest), end, dtype=tok.dtype)]), len(rest))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "part int, i long, n_tokens int, ids binary, doc_ids array<long>")
 
 
 def _slotted(rows: DataFrame, starts: dict[int, int], n: int, key: int, ids: bool) -> DataFrame:
-    """Rows (slot, n_tokens, doc_ids), or (slot, ids) with ids compressed for the way."""
+    """Rows (slot, n_tokens, doc_ids), or (slot, ids)."""
     sent = rows.sparkSession.sparkContext.broadcast(starts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             first = np.array([sent.value[p] for p in column(batch, "part").to_pylist()], dtype=np.int64)
             slot = pa.array(permute(first + column(batch, "i").to_numpy(), n, key))
             if ids:
-                yield pa.RecordBatch.from_arrays([slot, pa.array([pack(x.as_buffer()) for x in column(batch, "ids")], pa.binary())], names=["slot", "ids"])
+                yield pa.RecordBatch.from_arrays([slot, column(batch, "ids")], names=["slot", "ids"])
             else:
                 yield pa.RecordBatch.from_arrays([slot, column(batch, "n_tokens"), column(batch, "doc_ids")], names=["slot", "n_tokens", "doc_ids"])
 
@@ -124,13 +130,14 @@ def _slotted(rows: DataFrame, starts: dict[int, int], n: int, key: int, ids: boo
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([unpack(x.as_buffer()) for x in column(batch, "ids")], pa.binary())], names=["value"])
+        for at in range(0, batch.num_rows, STEP):
+            yield pa.RecordBatch.from_arrays([pa.array([unpack(x.as_buffer()) for x in column(batch.slice(at, STEP), "ids")], pa.binary())], names=["value"])
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, end: int = END, key: int = KEY) -> DataFrame:
     """Writes path/records/part-NNNNN and path/manifest, and gives rows (slot, shard, record, n_tokens, doc_ids)."""
     spark = docs.sparkSession
-    made = written(sequences(docs, tokenizer, length, end), "sequences")
+    made = written(sequences(docs, tokenizer, length, end, packed=True), "sequences", SMALL_BUFFERS)
     counts = made.groupBy("part").agg(F.count("*").alias("n")).collect()  # a row for each input partition
     starts, n = {}, 0
     for r in sorted(counts):
@@ -165,7 +172,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if len(raw) % m["stride"] or any(raw[k - 1] != 10 for k in range(m["stride"], len(raw) + 1, m["stride"])):
                     raise ValueError(f"shard {shard} isn't whole records")
                 n = len(raw) // m["stride"]
-                yield pa.RecordBatch.from_arrays([pa.array(shard * m["per_shard"] + np.arange(n)), pa.array([bytes(raw[k * m["stride"] : (k + 1) * m["stride"] - 1]) for k in range(n)], pa.binary())], names=["slot", "ids"])
+                for at in range(0, n, STEP):
+                    part = range(at, min(n, at + STEP))
+                    yield pa.RecordBatch.from_arrays([pa.array(shard * m["per_shard"] + np.array(part)), pa.array([bytes(raw[k * m["stride"] : (k + 1) * m["stride"] - 1]) for k in part], pa.binary())], names=["slot", "ids"])
 
     files = spark.read.format("binaryFile").load(f"{path}/records")
     return files.where("length > 0").select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("shard"), "content").mapInArrow(run, "slot long, ids binary")

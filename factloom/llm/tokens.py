@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-MAX_CACHED = 300_000
+MAX_CACHED = 200_000
 #: ASCII signs between a letter or digit and white space are a pre-token of their own whatever stands around them.
 LAST_SIGNS, APART = r"([\pL\pN])([!-/:-@\[-`{-~]+)(\s|\z)", r"\1 \2\3"
 
