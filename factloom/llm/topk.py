@@ -8,12 +8,15 @@ The components are cut in SLICES parts; each part's scores are a list of their o
    that reach it in any list, and no others can be in the result.
 3. The rest of the scores of the collected entries is worked out exactly; those below the cutoff go, and each query keeps its K best, ties to the smaller id.
 
-Queries come in blocks of at most QUERY_BLOCK rows (a bounded broadcast) that pass over all candidates; a task keeps at most K entries
+Queries come in blocks of at most QUERY_ROWS rows and QUERY_BYTES (a bounded broadcast) that pass over all candidates; a task keeps at most K entries
 per query and list, so equal vectors in any number don't grow its result.
 
+Scores are sums of whole numbers in double precision, which is exact while components are small. Pairs with a component so large that it might not be are scored in
+whole numbers of any size by themselves; such scores beyond 64 bits are given as the greatest or least long.
+
 Nulls and edges: vectors that are null or have a null, NaN or infinite component take no part, nor do null ids. Vectors of different length
-are compared as if the shorter went on with zeros. Rows that repeat an id are rows of their own, but no row with the query's id is its candidate.
-Queries with no candidate have no rows.
+are compared as if the shorter went on with zeros. Rows that repeat an id are rows of their own, as candidates and as queries (the K best of such a query are those of all its rows
+together), but no row with the query's id is its candidate. Queries with no candidate have no rows. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import column, written
 
 SLICES = 4
-QUERY_BLOCK = 50_000
+QUERY_ROWS, QUERY_BYTES = 50_000, 64 << 20
 #: Queries and candidates scored at once in a task.
 QUERY_STEP, ROW_STEP = 256, 4096
 
@@ -135,39 +138,67 @@ def _task(batches: Iterator[pa.RecordBatch], block: _Block, k: int, first: bool)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*flat)], names=["query_id", "vec_id", "score"])
 
 
+def _exact(batches: Iterator[pa.RecordBatch], block: _Block, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (query, vec_id, score) of the k best of each query, in whole numbers of any size."""
+    width = block.vectors.shape[1]
+    own = [[int(x) for x in v] for v in block.vectors]
+    kept: list[list[tuple[int, int]]] = [[] for _ in own]
+    for ids, rows in _steps(batches, width):
+        for i, v in zip(ids.tolist(), rows):
+            other = [int(x) for x in v]
+            for q, (query, mine) in enumerate(zip(own, block.ids.tolist())):
+                if mine != i:
+                    kept[q].append((-sum(map(int.__mul__, query, other)), i))
+                    if len(kept[q]) > 8 * k:
+                        kept[q] = sorted(kept[q])[:k]
+    most = (1 << 63) - 1
+    flat = [(int(block.ids[q]), i, max(-most - 1, min(most, -s))) for q, found in enumerate(kept) for s, i in sorted(found)[:k]]
+    if flat:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*flat)], names=["query_id", "vec_id", "score"])
+
+
+def _blocks(asked: DataFrame, width: int) -> Iterator[_Block]:
+    """The queries in blocks of bounded size."""
+    most = max(1, min(QUERY_ROWS, QUERY_BYTES // (8 * max(1, width))))
+    n = asked.count()
+    blocks = max(1, -(-2 * n // most)) if n > most else 1  # dealt by a hash, so half full on average
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)) == b).toArrow().combine_chunks()
+        for batch in part.to_batches(max_chunksize=most):
+            if batch.num_rows:
+                yield _Block(column(batch, "vec_id").to_numpy(), _vectors(batch, width).copy())
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256) -> DataFrame:
     """Rows (query_id, rank, vec_id, score) for rows (vec_id, embedding) of both: the k greatest inner products of floor(scale x)."""
     spark = candidates.sparkSession
-    rows = written(usable(candidates, scale), "vectors")
-    asked = written(usable(queries, scale).groupBy("vec_id").agg(F.first("v").alias("v")), "queries")
-    sizes = rows.agg(F.max(F.size("v")).alias("w"), F.max(F.expr("array_max(transform(v, x -> abs(x)))")).alias("m")).first()
-    n, width = asked.count(), sizes["w"] or 0
-    if width and sizes["m"] is not None and sizes["m"] ** 2 * width >= 2**53:
-        raise ValueError("these components are too large for exact scores in double precision")
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    found = None
-    for b in range(blocks if width else 0):
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        if not part:
-            continue
-        ids = np.array([r.vec_id for r in part], dtype=np.int64)
-        block = _Block(ids, _matrix([np.array(r.v) for r in part], width))
-        phase = lambda blk, first: rows.mapInArrow(_sender(spark.sparkContext.broadcast(blk), k, first), "query_id long, vec_id long, score long")
-        floors = _ranked(phase(block, True), k).where(F.col("rank") == k).select("query_id", "score").collect()
+    rows, asked = written(usable(candidates, scale), "vectors"), written(usable(queries, scale), "queries")
+    width = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    limit = float(int((2**53 / max(1, width)) ** 0.5))
+    large = F.exists("v", lambda x: F.abs(x) >= limit)
+    found = []
+
+    def phase(block: _Block, some: DataFrame, task) -> DataFrame:
+        sent = spark.sparkContext.broadcast(block)
+        return some.mapInArrow(lambda batches: task(batches, sent.value), "query_id long, vec_id long, score long")
+
+    if width and not rows.where(large).isEmpty():
+        for block in _blocks(asked.where(large), width):
+            found.append(phase(block, rows, lambda x, b: _exact(x, b, k)))
+        for block in _blocks(asked.where(~large), width):
+            found.append(phase(block, rows.where(large), lambda x, b: _exact(x, b, k)))
+        rows, asked = rows.where(~large), asked.where(~large)
+    for block in _blocks(asked, width) if width else ():
+        floors = _ranked(phase(block, rows, lambda x, b: _task(x, b, k, True)), k).where(F.col("rank") == k).select("query_id", "score").collect()
         known = {r.query_id: r.score for r in floors}
-        block.cutoff = np.array([known.get(i, -np.inf) for i in ids.tolist()], dtype=float)
-        own = _ranked(phase(block, False), k)
-        found = own if found is None else found.union(own)
-    if found is None:
+        block.cutoff = np.array([known.get(i, -np.inf) for i in block.ids.tolist()], dtype=float)
+        found.append(phase(block, rows, lambda x, b: _task(x, b, k, False)))
+    if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return found.select("query_id", "rank", "vec_id", "score")
-
-
-def _sender(sent, k: int, first: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _task(batches, sent.value, k, first)
-
-    return run
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    return _ranked(every, k).select("query_id", "rank", "vec_id", "score")
 
 
 def _ranked(rows: DataFrame, k: int) -> DataFrame:
