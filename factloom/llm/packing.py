@@ -1,8 +1,10 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
 `token_pieces` cuts documents into pieces of at most `capacity` tokens; `pack` places items of any
-kind in bins: every partition best-fits its items in decreasing order, bins with at most `tolerance`
-tokens free are final, and the others go up a tree of fan-in FAN_IN as items of the next round.
+kind in bins: items are dealt by a hash to partitions of about ITEMS, so that each has all sizes whatever the
+order of the input; every partition best-fits its items in decreasing order; bins with at most `tolerance`
+tokens free are final, and all others are items of the next round, dealt again to as many partitions as they need. The rounds end with one in
+a single partition, or with one that merges less than one in LEAST of its items (sizes that don't fit together, in any number).
 Only (item, size) rows move; token ids stay where they were written.
 
 Nulls and edges: a null text is the empty text, which has one piece (the separator alone). Rows are
@@ -26,9 +28,8 @@ from factloom.llm.tokens import default_path, tokenizer_at
 
 CAPACITY = 2048
 SEPARATOR = 0
-FAN_IN = 8
-#: Items that one task sorts at once; underfull bins that a task passes on (the least full; any others are final as they are).
-CHUNK, RESIDUE = 500_000, 65_536
+#: Items of a partition; a round that merges less than one in LEAST of its items is the last.
+ITEMS, LEAST = 100_000, 50
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR, ids: bool = False) -> DataFrame:
@@ -99,45 +100,32 @@ def _level(items: DataFrame, capacity: int, tolerance: int, level: int) -> DataF
     """One round: rows (item_id, bin_id, place, fill, final). fill is null but in the first row of each bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        next_bin = (level << 56) + (TaskContext.get().partitionId() << 32)
-
-        def packed(got: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            nonlocal next_bin
-            item = np.concatenate([column(b, "item_id").to_numpy(zero_copy_only=False) for b in got])
-            size = np.concatenate([column(b, "size").to_numpy(zero_copy_only=False) for b in got])
+        got = [(column(b, "item_id").to_numpy(zero_copy_only=False), column(b, "size").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        if got:
+            item, size = (np.concatenate(x) for x in zip(*got))
             order = np.lexsort((item, -size))
-            item = item[order]
             bins, place, fills = best_fit(size[order], capacity)
-            final = fills >= capacity - tolerance
-            final[np.argsort(fills, kind="stable")[RESIDUE:]] = True
+            names = (level << 56) + (TaskContext.get().partitionId() << 32) + bins
             first = place == 0
-            yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(next_bin + bins), pa.array(place), pa.array(fills[bins], mask=~first), pa.array(final[bins])], names=["item_id", "bin_id", "place", "fill", "final"])
-            next_bin += len(fills)
-
-        got, n = [], 0
-        for batch in batches:
-            got.append(batch)
-            n += batch.num_rows
-            if n >= CHUNK:
-                yield from packed(got)
-                got, n = [], 0
-        if n:
-            yield from packed(got)
+            yield pa.RecordBatch.from_arrays([pa.array(item[order]), pa.array(names), pa.array(place), pa.array(fills[bins], mask=~first), pa.array((fills >= capacity - tolerance)[bins])], names=["item_id", "bin_id", "place", "fill", "final"])
 
     return items.select("item_id", F.col("size").cast("long").alias("size")).mapInArrow(run, "item_id long, bin_id long, place long, fill long, final boolean")
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, tolerance: int = 16) -> DataFrame:
-    """Rows (item_id, sequence_id, offset) for rows (item_id, size), item_id unique and 0 < size <= capacity."""
-    levels, parts = [], max(1, items.rdd.getNumPartitions())
+def pack(items: DataFrame, capacity: int = CAPACITY, tolerance: int = 16, most: int | None = None) -> DataFrame:
+    """Rows (item_id, sequence_id, offset) for rows (item_id, size), item_id unique and 0 < size <= capacity. most: items of a partition."""
+    most = most or ITEMS
+    levels, n = [], items.count()
     while True:
-        done = written(_level(items, capacity, tolerance, len(levels)), f"pack{len(levels)}")
+        parts = max(1, -(-n // most))
+        dealt = items.repartition(parts, F.xxhash64("item_id", F.lit(len(levels)))) if parts > 1 else items.coalesce(1)
+        done = written(_level(dealt, capacity, tolerance, len(levels)), f"pack{len(levels)}")
         levels.append(done)
-        if parts == 1:
-            break
-        parts = -(-parts // FAN_IN)
         rest = done.where("fill is not null and not final").select(F.col("bin_id").alias("item_id"), F.col("fill").alias("size"))
-        items = rest.repartition(parts, F.xxhash64("item_id")) if parts > 1 else rest.coalesce(1)
+        left, bins = rest.count(), done.where("fill is not null").count()
+        if parts == 1 or not left or (n - bins) * LEAST < n:
+            break
+        items, n = rest, left
     above = None
     for done in reversed(levels):
         own = done.select("item_id", "bin_id", "place")
