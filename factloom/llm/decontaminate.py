@@ -10,7 +10,8 @@ A benchmark of at most `broadcast_bytes` of text (checked) is indexed once and s
 shuffle. A larger one takes `by_join`: kept hashes of both sides are joined and only the pairs found are compared.
 
 Nulls and edges: a null text has no words; a null benchmark text or item_id is no item; item rows with the
-same item_id count as one item. Each document row gives one row, repeated ids too. An empty benchmark hits nothing.
+same item_id count as one item. Texts of any length are compared whole; equal least hashes in a window keep the leftmost. Each document row gives one row, repeated ids too. An empty
+benchmark hits nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -196,30 +197,30 @@ def _kept_hashes(rows: DataFrame, key: str, short: list[int]) -> DataFrame:
     return rows.select(key, "text").mapInArrow(run, f"{key} {kind}, hash long, n int")
 
 
+def _short_lengths(items: DataFrame) -> list[int]:
+    """The numbers of words, under WINDOW, that items have: at most WINDOW - 1 numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([min(WINDOW, len(words_of(t))) for t in _bytes(column(batch, "text"))], pa.int32())], names=["n"])
+
+    return sorted(r.n for r in items.select("text").mapInArrow(run, "n int").where(F.col("n").between(1, WINDOW - 1)).distinct().collect())
+
+
 def by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The way for a benchmark too large to send to every task."""
+    """The way for a benchmark too large to send to every task: a document's text meets the items that share a kept hash with it, and is compared with them at once."""
     docs = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), "docs")
-    short = list(range(1, WINDOW))
+    short = _short_lengths(items)
     pairs = _kept_hashes(docs, "row", short).join(_kept_hashes(items, "item_id", short), ["hash", "n"]).select("row", "item_id").distinct()
+    asked = pairs.join(items, "item_id").groupBy("row").agg(F.collect_list(F.struct("item_id", F.encode("text", "UTF-8").alias("item"))).alias("items"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, names = column(batch, "row").to_pylist(), column(batch, "item_id").to_pylist()
-            got = [Index([(name, item)]).match([text])[0] for name, item, text in zip(names, _bytes(column(batch, "item")), _bytes(column(batch, "text")))]
-            flat = [(r, a, b, name) for r, name, (_, hits, _) in zip(rows, names, got) for a, b in hits]
-            if flat:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*flat)], names=["row", "from", "to", "item_id"])
-
-    texts = items.select("item_id", F.col("text").alias("item"))
-    spans = pairs.join(docs.select("row", "text"), "row").join(texts, "item_id").select("row", "item_id", "item", "text").mapInArrow(run, "row long, from long, to long, item_id string")
-    # overlapping spans become one: the running maximum of the ends tells where a new one begins
-    found = spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    merged = F.aggregate(
-        "spans",
-        F.expr("cast(array() as array<struct<from: long, to: long>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x["from"] <= F.element_at(acc, -1)["to"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["from"].alias("from"), F.greatest(F.element_at(acc, -1)["to"], x["to"]).alias("to"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    found = found.select("row", merged.alias("hits"), "item_ids")
+        for batch in slices(batches):
+            for row, text, own in zip(column(batch, "row").to_pylist(), _bytes(column(batch, "text")), column(batch, "items").to_pylist()):
+                _, hits, names = Index([(x["item_id"], x["item"]) for x in own]).match([text])[0]
+                yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([[{"from": a, "to": b} for a, b in hits]], SPANS), pa.array([names], pa.list_(pa.string()))], names=["row", "hits", "item_ids"])
+
+    found = docs.select("row", "text").join(asked, "row").mapInArrow(run, RESULT.replace("doc_id long, n_words long", "row long"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
