@@ -68,6 +68,17 @@ def drop_written(df: DataFrame) -> None:
         delete_path(df.sparkSession, path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, longer where the table has a column of the name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def text_or_empty(name: str = "text"):
     """Text of any type as string; null is the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
