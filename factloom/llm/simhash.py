@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import column, slices, text_or_empty, written
+from factloom.llm.common import column, join_facts, slices, text_or_empty, written
 from factloom.llm.components import components
 
 RADIUS = 2
@@ -119,6 +119,42 @@ def near(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> tuple[np.
     return np.concatenate(a), np.concatenate(b)
 
 
+def within(one: np.ndarray, other: np.ndarray, radius: int) -> np.ndarray:
+    """Of pairs of fingerprints, one of each array, whether they differ in at most `radius` bits: 64 pairs at a time, with as many carry-save counters as the radius needs."""
+    planes = bit_planes(one ^ other)
+    full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    live = np.arange(planes.shape[1])
+    counters = [np.zeros(len(live), dtype=np.uint64) for _ in range(radius.bit_length())]
+    over = np.zeros(len(live), dtype=np.uint64)
+    out = np.zeros(planes.shape[1], dtype=np.uint64)
+
+    def beyond() -> np.ndarray:
+        """The pairs whose count is over the radius: compared with it from the highest bit on."""
+        greater, equal = over, ~over
+        for i in reversed(range(len(counters))):
+            if radius >> i & 1:
+                equal = equal & counters[i]
+            else:
+                greater, equal = greater | (equal & counters[i]), equal & ~counters[i]
+        return greater
+
+    for i in range(64):
+        carry = planes[i][live]
+        for c in range(len(counters)):
+            counters[c], carry = counters[c] ^ carry, counters[c] & carry
+        over = over | carry
+        if i % 8 == 7:
+            far = beyond()
+            stay = far != full
+            live, over, far = live[stay], over[stay], far[stay]
+            counters = [c[stay] for c in counters]
+            if not len(live):
+                break
+    if len(live):
+        out[live] = ~beyond()
+    return np.unpackbits(out.astype("<u8").view(np.uint8), bitorder="little")[: len(one)].astype(bool)
+
+
 def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """For n nodes the least node that the pairs connect each with."""
     root = np.arange(n)
@@ -204,14 +240,14 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 3, seed: int = 42, radius: int = RADIUS) -> DataFrame:
     """Rows (doc_id, fp, component_id): the smallest doc_id that links reach, for every row of documents."""
     own = written(fingerprints(docs, size, seed), "fps")
-    least = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     nodes = written(least, "nodes")
     groups = components(near_links(nodes.select("fp"), radius))
     linked = groups.join(nodes, groups["node"] == nodes["fp"])
     smallest = linked.groupBy("component").agg(F.min("least").alias("smallest"))
     ids = groups.join(smallest, "component").select(F.col("node").alias("fp"), "smallest")
-    labels = nodes.join(ids, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
-    return own.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = written(nodes.join(ids, "fp", "left").select("fp", "rows", F.coalesce("smallest", "least").alias("component_id")), "labels")
+    return join_facts(own, labels, ["fp"], "rows").select("doc_id", "fp", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
