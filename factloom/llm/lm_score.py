@@ -27,7 +27,7 @@ from factloom.llm.decontaminate import words_of
 
 ALPHA, MU = 0.1, 5.0
 #: Text that one bucket stands for.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BEGIN, END = np.uint64(1), np.uint64(2)
 GRAMS = "bucket long, g long, grams binary, every binary, target binary"
@@ -183,7 +183,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     targets = written(docs.select("g", "uid", "doc_id").join(good, "doc_id").select("g", "uid"), "targets")
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(64, -(-size // BUCKET_BYTES))
+    buckets = max(16, -(-size // BUCKET_BYTES))
     sent = docs.groupBy("g").cogroup(targets.groupBy("g")).applyInArrow(lambda d, t: _send(d, t, buckets), GRAMS)
     answers = sent.groupBy("bucket").applyInArrow(_answer, GRAMS + ", distinct long, n_every long, n_target long")
     answers = written(answers, "counts")
