@@ -544,3 +544,18 @@ def test_toxicity(spark, monkeypatch):
     with pytest.raises(ValueError):
         toxicity.fit(docs, labels.limit(0))
     assert toxicity.digest(docs.limit(0), model, limits).count() == 0
+
+
+def test_toxicity_learns_from_every_row(spark, monkeypatch):
+    """Texts of over 8,192 words, and more rows than 12,000, teach too; several trainers, and scores in levels, do as well as one."""
+    rng = random.Random(8)
+    long = [(i, " ".join(rng.choices(WORDS, k=8300) + ["vejua"] * (i % 2)), i % 2) for i in range(60)]
+    short = [(100 + i, " ".join(rng.choices(WORDS, k=6) + ["vejub"] * (i % 2)), i % 2) for i in range(13_000)]
+    docs, labels = (spark.createDataFrame([(i, x[k]) for i, *x in long + short], f"doc_id long, {c}") for k, c in enumerate(("text string", "toxic int")))
+    rows = toxicity._labelled(docs, labels)
+    assert rows.count() == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i, *_ in long + short) and rows.agg(F.max("n")).first()[0] == 8301
+    for trainer_words in (toxicity.TRAINER_WORDS, 150_000):
+        monkeypatch.setattr(toxicity, "TRAINER_WORDS", trainer_words)
+        model, limits = toxicity.fit(docs, labels)
+        got = {r.doc_id: r.score >= limits[None] for r in toxicity.digest(docs, model, limits).where("held_out").collect()}
+        assert np.mean([got[i] == bool(y) for i, _, y in short if i in got]) > 0.99 and np.mean([got[i] == bool(y) for i, _, y in long if i in got]) > 0.95
