@@ -298,6 +298,21 @@ def test_members_of_a_class_meet(spark):
     assert got == dict(brute_lines(rows)) == {1: rows[0][1], 2: rows[1][1], 3: "", 4: ""}
 
 
+@pytest.mark.parametrize("bucket", [256, 5])
+def test_unlike_nodes_under_a_crowded_key_meet(spark, monkeypatch, bucket):
+    """Two similar nodes whose only common key many unlike nodes have, too; each pair of sizes that fit is compared, and none twice."""
+    monkeypatch.setattr(meeting, "BUCKET", bucket)
+    shared = meeting.shared_keys(spark.createDataFrame([(7, i, 10) for i in range(40)] + [(7, 40, 99), (8, 41, 10)], "k long, id long, n long"))
+    alike, seen = {(0, 3), (3, 4), (5, 9), (17, 39)}, []
+
+    def links(pairs):
+        seen.extend((r.a, r.b) for r in pairs.collect())
+        return spark.createDataFrame([p for p in seen if p in alike], "a long, b long").distinct()
+
+    got = {(r.a, r.b) for r in meeting.similar_links(shared, links).collect()}
+    assert got == alike and len(seen) == len(set(seen)) >= 40 * 39 // 2 - 2
+
+
 def test_line_dedup_is_native(spark):
     plan = line_dedup.dedup_lines(documents(spark, edge_rows()))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
