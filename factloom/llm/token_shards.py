@@ -159,11 +159,12 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/manifest").first().value)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (slot, ids): every record of the shards, ids as binary."""
+def read_records(spark: SparkSession, path: str, crc: bool = False) -> DataFrame:
+    """Rows (slot, ids): every record of the shards, ids as binary; or (slot, ids_crc32), so that no second Python worker has to be fed."""
     m = read_manifest(spark, path)
+    kind = "slot long, ids_crc32 long" if crc else "slot long, ids binary"
     if not m["n"]:
-        return spark.createDataFrame([], "slot long, ids binary")
+        return spark.createDataFrame([], kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,10 +175,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 n = len(raw) // m["stride"]
                 for at in range(0, n, STEP):
                     part = range(at, min(n, at + STEP))
-                    yield pa.RecordBatch.from_arrays([pa.array(shard * m["per_shard"] + np.array(part)), pa.array([bytes(raw[k * m["stride"] : (k + 1) * m["stride"] - 1]) for k in part], pa.binary())], names=["slot", "ids"])
+                    records = [raw[k * m["stride"] : (k + 1) * m["stride"] - 1] for k in part]
+                    out = pa.array(map(zlib.crc32, records), pa.int64()) if crc else pa.array(map(bytes, records), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(shard * m["per_shard"] + np.array(part)), out], names=["slot", "ids_crc32" if crc else "ids"])
 
     files = spark.read.format("binaryFile").load(f"{path}/records")
-    return files.where("length > 0").select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("shard"), "content").mapInArrow(run, "slot long, ids binary")
+    return files.where("length > 0").select(F.regexp_extract("path", r"part-(\d+)", 1).cast("long").alias("shard"), "content").mapInArrow(run, kind)
 
 
 def read_from(folder: str, slot: int, filesystem=None) -> Iterator[np.ndarray]:
@@ -200,10 +203,4 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Writes the shards, and gives (slot, shard, record, n_tokens, doc_ids, ids_crc32), the CRC-32 worked out from the files as written."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, "shards")
-    index = write_shards(docs, path)
-
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([column(batch, "slot"), pa.array([zlib.crc32(x.as_buffer()) for x in column(batch, "ids")], pa.int64())], names=["slot", "ids_crc32"])
-
-    return index.join(read_records(spark, path).mapInArrow(crc, "slot long, ids_crc32 long"), "slot")
+    return write_shards(docs, path).join(read_records(spark, path, crc=True), "slot")

@@ -128,6 +128,16 @@ def test_shards_round_trip(spark, tmp_path):
     assert token_shards.write_shards(docs.limit(0), f"file://{empty}").count() == 0 and token_shards.read_records(spark, f"file://{empty}").count() == 0
 
 
+def test_shard_checksums_take_one_python_worker(spark, tmp_path):
+    """Each task feeds one worker at a time: a second one beside it would hold a tokenizer's memory, too."""
+    path = f"file://{tmp_path}/shards"
+    made = token_shards.digest(documents(spark, edge_rows()), path)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow run") == 2 and "crc(" not in plan, plan
+    want = {r.slot: zlib.crc32(r.ids) for r in token_shards.read_records(spark, path).collect()}
+    assert {r.slot: r.ids_crc32 for r in made.collect()} == want and len(want) > 1
+
+
 # --- decontamination ---
 
 
