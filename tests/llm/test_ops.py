@@ -584,3 +584,13 @@ def test_toxicity_learns_from_every_row(spark, monkeypatch):
         model, limits = toxicity.fit(docs, labels)
         got = {r.doc_id: r.score >= limits[None] for r in toxicity.digest(docs, model, limits).where("held_out").collect()}
         assert np.mean([got[i] == bool(y) for i, _, y in short if i in got]) > 0.99 and np.mean([got[i] == bool(y) for i, _, y in long if i in got]) > 0.95
+
+
+def test_toxicity_gives_memory_back():
+    """An idle worker keeps neither the words it has seen nor the products of the classifier."""
+    model = toxicity.Classifier()
+    model.score([toxicity.word_ids("some words")])
+    assert toxicity._ids and hasattr(model, "word_taps")
+    model.forget()
+    toxicity._give_back()
+    assert not toxicity._ids and not hasattr(model, "word_taps")
