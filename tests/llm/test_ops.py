@@ -323,6 +323,28 @@ def test_unlike_nodes_under_a_crowded_key_meet(spark, monkeypatch, bucket):
     assert got == alike and len(seen) == len(set(seen)) >= 40 * 39 // 2 - 2
 
 
+@pytest.mark.parametrize("words", [24, 60])
+def test_lines_do_not_meet_by_frequent_words(spark, monkeypatch, words):
+    """Unlike lines, half of whose words many others have, too, hardly meet; of each two that differ by a rare word and a frequent one, one goes."""
+    monkeypatch.setattr(line_dedup, "COUNTED", 100, raising=False)
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    common = [word(3) for _ in range(words * 2 // 3)]
+    lines = [rng.sample(common, words // 2) + [word(9) for _ in range(words // 2)] for _ in range(400)]
+    lines += [["new", *x[1:-1], "newer"] for x in lines[:40]]
+    made, across = [], meeting._across
+
+    def counted(labelled):
+        made.append(across(labelled).count())
+        return across(labelled)
+
+    monkeypatch.setattr(meeting, "_across", counted)
+    rows = [(i, " ".join(x)) for i, x in enumerate(lines)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert all(got[i] == t for i, t in rows[:400]) and sum(got[i] == "" for i in range(400, 440)) >= 38
+    assert sum(made) <= len(lines), made
+
+
 def test_line_dedup_is_native(spark):
     plan = line_dedup.dedup_lines(documents(spark, edge_rows()))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
