@@ -323,6 +323,21 @@ def test_unlike_nodes_under_a_crowded_key_meet(spark, monkeypatch, bucket):
     assert got == alike and len(seen) == len(set(seen)) >= 40 * 39 // 2 - 2
 
 
+def test_near_copies_meet_few_though_their_centre_is_unlike(spark):
+    """300 nodes that are like each other and one that is like none, which is the key's centre: all connected by far fewer than all pairs, none of them twice."""
+    shared = meeting.shared_keys(spark.createDataFrame([(7, i, 100 + i % 5) for i in range(301)], "k long, id long, n long"))
+    seen = []
+
+    def links(pairs):
+        now = [(r.a, r.b) for r in pairs.collect()]
+        seen.extend(now)
+        return spark.createDataFrame([p for p in now if p[0]], "a long, b long")
+
+    got = components(meeting.similar_links(shared, links)).collect()
+    assert {(r.node, r.component) for r in got} == {(i, 1) for i in range(1, 301)}
+    assert {(0, i) for i in range(1, 301)} <= set(seen) and len(seen) == len(set(seen)) <= 300 * 25, len(seen)
+
+
 @pytest.mark.parametrize("words", [24, 60])
 def test_lines_do_not_meet_by_frequent_words(spark, monkeypatch, words):
     """Unlike lines, half of whose words many others have, too, hardly meet; of each two that differ by a rare word and a frequent one, one goes."""
