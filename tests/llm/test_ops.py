@@ -1,7 +1,9 @@
 """Operators against brute force, and their defined results on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +12,7 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, html_extract, line_dedup, lm_score, meeting, packing, simhash, suffix_array, suffix_dedup, token_shards, tokens, topk, toxicity
+from factloom.llm import common, decontaminate, html_extract, line_dedup, lm_score, meeting, packing, simhash, suffix_array, suffix_dedup, token_shards, tokens, topk, toxicity
 from factloom.llm.components import components
 
 DOCS = "doc_id long, text string, fp long, sim long, g long, row long, score double, norm string"
@@ -397,6 +399,24 @@ def test_lines_without_letters_and_digits_are_told_by_the_line(spark, end):
     assert sorted(r.norm for r in lines.collect()) == sorted(r.norm for r in line_dedup._lines(docs).collect())
 
 
+def test_line_dedup_gives_its_disk_back(spark):
+    """Of its tables only the one that the result is read from stays, and what is written leaves no shuffle files."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: sum(files.getAllFiles().apply(i).getName().startswith("shuffle_") for i in range(files.getAllFiles().size()))
+    folder = common.scratch_root(spark).removeprefix("file://") + "/factloom"
+    tables = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    catalog, old = spark.sql("show tables").count(), tables()
+    rows = [(i, f"the line with number {i % 40} stands here among some others\nown words of {i}") for i in range(80)]
+    result = line_dedup.dedup_lines(documents(spark, rows))
+    assert [x.rsplit("-", 1)[0] for x in tables() - old] == ["gone"] and spark.sql("show tables").count() == catalog
+    assert result.count() == 80
+    before = shuffled()
+    common.written(spark.range(1000).groupBy(F.col("id") % 7).count().withColumnRenamed("(id % 7)", "g"), "some")
+    time.sleep(1)  # they go in the background
+    assert shuffled() <= before
+    assert spark.conf.get(common.CLEANUP) == "false"
+
+
 def test_line_dedup_is_native(spark):
     plan = line_dedup.dedup_lines(documents(spark, edge_rows()))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
