@@ -201,12 +201,18 @@ def validated_answers(answers: DataFrame, rules: DataFrame) -> DataFrame:
     """text, capability_id, domain, tracer_id, supporting_quote from a model's answers to batches of texts: rows (batch_id, batch, raw; at, of a text asked twice the latest batch counts).
 
     raw: text with one JSON object from place in the batch to matches. A place outside the batch, a tracer that the rules don't have, and a quote that doesn't stand in the text are dropped.
+    Each text goes on with its own matches, never with those of its whole batch.
     """
     at = F.col("at") if "at" in answers.columns else F.col("batch_id")
-    asked = answers.select(at.alias("at"), F.from_json(F.regexp_extract("raw", r"(?s)\{.*\}", 0), ANSWERS).alias("said"), F.posexplode("batch").alias("place", "text"))
+    said = F.map_entries(F.from_json(F.regexp_extract("raw", r"(?s)\{.*\}", 0), ANSWERS))
+    placed = F.transform(said, lambda e: F.struct(F.trim(e["key"]).try_cast("int").alias("place"), e["value"].alias("matches")))
+    own = lambda r, i: F.flatten(F.transform(F.filter(r["said"], lambda e: (e["place"] == i) & e["matches"].isNotNull()), lambda e: e["matches"]))
+    valid = lambda matches, t: F.filter(matches, lambda m: (F.coalesce(m["supporting_quote"], F.lit("")) != "") & t.contains(m["supporting_quote"]))
+    # an array of one, so that the answer is read once and not for each text
+    each = F.transform(F.array(F.struct("batch", placed.alias("said"))), lambda r: F.transform(r["batch"], lambda t, i: F.struct(i.alias("place"), t.alias("text"), valid(own(r, i), t).alias("matches"))))[0]
+    asked = answers.select(at.alias("at"), F.inline_outer(each)).where("text is not null")
     last = keep_first(asked, ["text"], [F.desc("at"), F.desc("place")])
-    entries = last.select("text", "place", F.explode(F.map_entries("said")).alias("e")).where(F.trim("e.key").try_cast("int") == F.col("place"))
-    found = entries.select("text", F.explode("e.value").alias("m")).select("text", "m.*").where((F.coalesce("supporting_quote", F.lit("")) != "") & F.col("text").contains(F.col("supporting_quote")))
+    found = last.select("text", F.explode("matches").alias("m")).select("text", "m.*")
     return found.join(F.broadcast(rules.select("capability_id", "domain", "tracer_id").distinct()), ["capability_id", "domain", "tracer_id"], "left_semi").select("text", "capability_id", "domain", "tracer_id", "supporting_quote")
 
 
