@@ -364,3 +364,23 @@ def test_stream_bullets(spark, tmp_path):
     q = stream_bullets(spark, str(tmp_path / "in"), f.schema, str(tmp_path / "out"), str(tmp_path / "ck"), RULES)
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out" / "matches")).count() == 1
+
+
+def test_one_border_is_shared_only_where_it_may_be():
+    assert mapping._alternation([r"\bab|cd\b", r"\bx(?:y|z)", r"\bq[(]a|b[)]", "e"]) == r"\b(?:(?:x(?:y|z)))|(?:\bab|cd\b)|(?:\bq[(]a|b[)])|(?:e)"
+    assert mapping._plain(r"\b[0-9]{2,}\b") and not mapping._plain("é") and not mapping._plain(r"\p{L}") and not mapping._plain(r"\u212a")
+
+
+def test_map_is_one_pass_and_made_once(spark, tmp_path):
+    """The map moves no text, sees the rules once for each bullet, and readiness aggregates it once."""
+    from factloom.plans import driver, views
+
+    docs = [(i, "the MIT license; naïve Licence\nund 42\n\nnot licensed, released") for i in range(6)]
+    for name, rows, schema in (("documents", docs, "doc_id long, text string"), ("labels", [(1, 1, 0), (2, 0, 0)], "doc_id long, toxic int, quality int"), ("supplier", [(i, f"s{i}", 0) for i in range(4)], "s_suppkey long, s_name string, s_nationkey long"), ("nation", [(0, "N", 0)], "n_nationkey long, n_name string, n_regionkey long"), ("region", [(0, "R")], "r_regionkey long, r_name string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    sf = str(tmp_path)
+    slow = mapping.capability_map(views.bullets(spark, sf).withColumn("text", F.col("text_norm")), driver.matches(spark, sf), views.flags(spark, sf))
+    mapped = driver.mapped(spark, sf)
+    assert mapped.count() and sorted(map(tuple, mapped.collect())) == sorted(map(tuple, slow.collect()))
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode")
+    assert scans(mapped) == 1 and scans(driver.readiness_of(spark, sf)) == 2  # the other: numbers of bullets
