@@ -384,3 +384,13 @@ def test_map_is_one_pass_and_made_once(spark, tmp_path):
     assert mapped.count() and sorted(map(tuple, mapped.collect())) == sorted(map(tuple, slow.collect()))
     scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode")
     assert scans(mapped) == 1 and scans(driver.readiness_of(spark, sf)) == 2  # the other: numbers of bullets
+
+
+def test_quantiles_of_any_values_are_those_of_percentile(spark):
+    at = (0.0, 0.25, 0.5, 0.9, 1.0)
+    for values in ([3.5], [-1e300, -2.0, 0.0, None, 1e-300, 7.25, 7.25, 7.25000000000001, float("inf")], [((i * 7919) % 1000) / 7 - 40 for i in range(1000)], []):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        got = readiness.quantiles(df, "v", at)
+        want = df.agg(*[F.percentile("v", q) for q in at]).first()
+        assert all(a == b if b is None else a == pytest.approx(b, rel=1e-12) for a, b in zip(got.first(), want, strict=True)), values
+    assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()
